@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import budget, lines, lookalike, pieces
+from lectern.llm import budget, cutoff, lines, lookalike, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return got.where("n_pieces > 1 and chunk_id is not null").select("chunk_id").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_captures(_table(spark, d, "raw_pages"), _table(spark, d, "source_manifest")).where("cut").select("page_id")
+
+
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.source_shares(_table(spark, d, "raw_pages"), _table(spark, d, "source_manifest"))
+
+
+def p4_limits(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.field_limits(cutoff.captures(_table(spark, d, "raw_pages"), _table(spark, d, "source_manifest")))
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_forms(_table(spark, d, "documents"))
 
