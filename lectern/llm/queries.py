@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import budget, cutoff, lines, lookalike, pieces
+from lectern.llm import budget, cutoff, lines, lookalike, mainbody, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,14 @@ def p4_limits(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.field_limits(cutoff.captures(_table(spark, d, "raw_pages"), _table(spark, d, "source_manifest")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.not_main_body(_table(spark, d, "raw_pages"))
+
+
+def p5_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.main_bodies(_table(spark, d, "raw_pages")).distinct()
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_forms(_table(spark, d, "documents"))
 
