@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import budget, cutoff, lines, lookalike, mainbody, pieces
+from lectern.llm import budget, cutoff, lines, lookalike, mainbody, mixing, packing, pieces
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,22 @@ def p5_main_text(spark: SparkSession, d: str) -> DataFrame:
     return mainbody.main_bodies(_table(spark, d, "raw_pages")).distinct()
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(packing.sized_documents(_table(spark, d, "documents")), _table(spark, d, "size_limits"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_containers(spark, d), _table(spark, d, "size_limits"))
+
+
+def p7_draws(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(packing.sized_documents(_table(spark, d, "documents")), _table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.draw(packing.sized_documents(_table(spark, d, "documents")), _table(spark, d, "mix_targets"))[1]
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_forms(_table(spark, d, "documents"))
 
