@@ -18,9 +18,9 @@ LOOK_ALIKE = dict(zip(_OTHER, _LATIN, strict=True)) | {"ɑ": "a", "ɡ": "g", "ı
 
 # Hyphens, and invisible characters that Unicode doesn't class as format characters.
 HYPHENS = "‐‑⁃−﹣－"
-INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍⠀ㅤﾠ"
+INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d⠀\u3164\uffa0"
 # Format characters that are drawn.
-DRAWN = "؀؁؂؃؄؅۝܏࢐࢑࣢"
+DRAWN = "\u0600\u0601\u0602\u0603\u0604\u0605\u06dd\u070f\u0890\u0891\u08e2"
 #: Compatibility forms that read as another thing: raised and lowered, encircled, fractions.
 KEPT_FORMS = ("<super>", "<sub>", "<circle>", "<fraction>")
 
@@ -35,7 +35,7 @@ def prototype(ch: str) -> str:
     if ch in HYPHENS:
         return "-"
     cat = U.category(ch)
-    if ch in INVISIBLE or "︀" <= ch <= "️" or "\U000e0100" <= ch <= "\U000e01ef" or cat == "Cf" and ch not in DRAWN:
+    if ch in INVISIBLE or "\ufe00" <= ch <= "\ufe0f" or "\U000e0100" <= ch <= "\U000e01ef" or cat == "Cf" and ch not in DRAWN:
         return ""
     if cat == "Zs" or ch == "\t":
         return " "

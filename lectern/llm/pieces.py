@@ -16,7 +16,7 @@ _BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
 _SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s))|(?:[。！？]+[”’」』）]*)")
 _WORD = re.compile(r"\S+")
 #: Characters that belong to the one before them.
-_JOINED = re.compile(r"[̀-ͯ‌‍︀-️⃐-⃿\U0001f3fb-\U0001f3ff]")
+_JOINED = re.compile(r"[\u0300-\u036f\u200c\u200d\ufe00-\ufe0f\u20d0-\u20ff\U0001f3fb-\U0001f3ff]")
 
 Span = tuple[int, int]
 
