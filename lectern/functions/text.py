@@ -31,3 +31,55 @@ def is_blank(c: Column) -> Column:
 def label(c: Column) -> Column:
     """One spelling of a short label: outer space cut, lower case, runs of space, ``_`` and ``-`` as one space."""
     return F.regexp_replace(F.lower(strip(c)), r"[\s_\-]+", " ")
+
+
+def tokens(c: Column, stopwords: tuple[str, ...] = ()) -> Column:
+    """Runs of ASCII letters and digits of the text in lower case, in order, without ``stopwords``; none for null."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
+    return F.filter(found, lambda t: ~t.isin(list(stopwords))) if stopwords else found
+
+
+def normalize(c: Column) -> Column:
+    """Line ends as LF, runs of space and tab as one space, at most one blank line in a row, ends stripped."""
+    return strip(F.regexp_replace(F.regexp_replace(unify_newlines(c), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
+def sentences(c: Column) -> Column:
+    """Pieces cut at white space after ``. ! ?`` and before an ASCII capital or ``(``; blank ones left out."""
+    parts = F.transform(F.split(c, rf"(?<=[.!?]){SPACE}+(?=[A-Z(])"), strip)
+    return F.filter(parts, lambda s: s != "")
+
+
+def paragraphs(c: Column) -> Column:
+    """Stripped pieces between blank lines; blank ones left out."""
+    return F.filter(F.transform(F.split(c, "\n\n"), strip), lambda s: s != "")
+
+
+_BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
+
+
+def lines(c: Column) -> Column:
+    """Lines at any Unicode line boundary; a boundary at the end opens no further line. Empty text is one empty line."""
+    return F.split(F.regexp_replace(c, _BREAK + r"\z", ""), _BREAK)
+
+
+def collapse(c: Column) -> Column:
+    """Runs of white space as one space, ends stripped."""
+    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+
+
+def norm_url(c: Column) -> Column:
+    """A URL to compare by: lower case, without scheme, without an ``index``, ``.php`` or ``.html`` ending and without slashes at its end."""
+    bare = F.regexp_replace(F.lower(strip(c)), r"^https?://", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"(?:index)?(?:\.php|\.html)?/?$", ""), "/+$", "")
+
+
+def first_url(c: Column, within: int = 6) -> Column:
+    """The first URL in the first ``within`` lines, empty if there is none."""
+    found = F.transform(F.slice(lines(c), 1, within), lambda x: F.regexp_extract(x, r"https?://[^\s)]+", 0))
+    return F.coalesce(F.get(F.filter(found, lambda u: u != ""), F.lit(0)), F.lit(""))
+
+
+def token_estimate(c: Column) -> Column:
+    """A quarter of the code points, rounded half to even."""
+    return F.bround(F.length(c) / 4).cast("int")
