@@ -76,17 +76,18 @@ def chunk_pages(pages: DataFrame, *keys: str) -> DataFrame:
     """
     rows = pages.select(*keys, normalize(F.col("text")).alias("__text")).withColumn("__packed", pack(F.col("__text")))
     rows = rows.withColumn("__joined", overlap(F.col("__packed"))).withColumn("__chunks", merge_short(F.col("__joined")))
-    parts = rows.select(*keys, F.posexplode("__chunks").alias("at", "text"))
+    # The outer form, since for the other one Spark infers a filter on the array and computes all of the above once more for it.
+    parts = rows.select(*keys, F.posexplode_outer("__chunks").alias("at", "text")).where("text is not null")
     return parts.select(*keys, (F.col("at") + 1).alias("part"), "text", F.length("text").alias("char_count"), token_estimate(F.col("text")).alias("token_estimate_approx"))
 
 
 def number_chunks(chunks: DataFrame, key: str = "file", part: str = "part") -> DataFrame:
     """``chunks`` with ``chunk_id``, ``c`` and a running number of three digits or more in the order of ``key`` and ``part``.
 
-    The rows are spread by ranges of ``key`` and staged with their partition's number; each partition counts its own rows,
-    and one row per partition tells how many come before. No step sees all rows.
+    The rows are staged, since finding ranges reads them twice, then spread by ranges of ``key`` and staged with their partition's
+    number; each partition counts its own rows, and one row per partition tells how many come before. No step sees all rows.
     """
-    parts = stage(chunks.repartitionByRange(key, part).withColumn("__p", F.spark_partition_id()), "numbered")
+    parts = stage(stage(chunks, "unnumbered").repartitionByRange(key, part).withColumn("__p", F.spark_partition_id()), "numbered")
     counts = sorted((r["__p"], r["count"]) for r in parts.groupBy("__p").count().collect())
     before, rows = 0, []
     for p, n in counts:

@@ -36,14 +36,12 @@ def unlisted_pages(pages: DataFrame, manifest: DataFrame) -> DataFrame:
 def build_chunks(pages: DataFrame, manifest: DataFrame, cleaned: bool = False) -> DataFrame:
     """Chunk rows of all pages (``page_id``, ``file``, ``text``) that the manifest lists, with its metadata; columns ``CHUNK_COLUMNS``.
 
-    The longest capture of a file stands for it and is cleaned first unless it is ``cleaned``. Only pages and
-    manifest entries meet on ``file``; chunks are numbered in the order of files.
+    The longest capture of a file stands for it and is then cleaned unless it is ``cleaned`` already. Chunks are numbered in the order of files.
     """
-    page = pages.select("page_id", "file", "text")
-    page = largest_capture(page if cleaned else clean(page, "text", "text"))
     meta = manifest_entries(manifest)
-    listed = page.join(meta.select("file"), "file", "left_semi")
-    chunks = number_chunks(chunk_pages(listed, "file"))
+    page = largest_capture(pages.select("page_id", "file", "text")).join(meta.select("file"), "file", "left_semi")
+    page = page if cleaned else clean(page, "text", "clean_text").select("file", F.col("clean_text").alias("text"))
+    chunks = number_chunks(chunk_pages(page, "file"))
     named = meta.select("file", "source_id", F.col("title").alias("source_title"), F.col("url").alias("source_url"), "scope", "topic", "content_version", "change_frequency", "date_accessed")
     return chunks.join(named, "file").select(*CHUNK_COLUMNS)
 
