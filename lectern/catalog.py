@@ -19,14 +19,14 @@ from lectern.operators import index as I
 from lectern.operators import neardup as N
 from lectern.operators import quality as Q
 from lectern.operators import search as S
-from lectern.plans.staging import stage
+from lectern.plans.staging import spread, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings(backend="extract")
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
