@@ -90,8 +90,8 @@ def text_issues(t: Column) -> Column:
 def text_gate(pages: DataFrame, *keys: str) -> DataFrame:
     """``keys``, ``n_chars``, ``issues`` (joined by ``; ``), ``ok`` for each row. Null text counts as empty."""
     bare = pages.select(*keys, strip(F.coalesce("text", F.lit(""))).alias("__t"))
-    rows = bare.select(*keys, F.length("__t").alias("n_chars"), text_issues(F.col("__t")).alias("i"))
-    return rows.select(*keys, "n_chars", F.array_join("i", "; ").alias("issues"), (F.size("i") == 0).alias("ok"))
+    rows = bare.select(*keys, F.length("__t").alias("n_chars"), text_issues(F.col("__t")).alias("__i"))
+    return rows.select(*keys, "n_chars", F.array_join("__i", "; ").alias("issues"), (F.size("__i") == 0).alias("ok"))
 
 
 def gate_summary(gated: DataFrame) -> DataFrame:
