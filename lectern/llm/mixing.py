@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.plans.staging import stage
+from lectern.plans.staging import stage, within
 
 #: Rounds and bins of the search for a source's rate; rounds of 1024 bins tell a billion documents apart.
 ROUNDS, BINS = 3, 1024
 SEED = 20_250_101
+#: Sources of all mixes together; the targets are broadcast and their rates searched for by the driver.
+MAX_TARGETS = 100_000
 
 
 def thresholds(u: np.ndarray, times: int) -> np.ndarray:
@@ -115,6 +117,8 @@ def draw(sized: DataFrame, mixes: DataFrame, seed: int = SEED) -> tuple[DataFram
     large as its scarcest source permits. A source without text is reported with nothing drawn and its share goes to the others in proportion.
     """
     targets = stage(_targets(sized, mixes), "mix-goals")
+    if not within(targets, MAX_TARGETS):
+        raise ValueError(f"more than {MAX_TARGETS} targets")
     rows = targets.where("goal > 0").select("mix_name", "source", "max_repeats").withColumnRenamed("max_repeats", "cap")
     docs = sized.where("tokens > 0").join(F.broadcast(rows), "source")
     work = docs.select("mix_name", "source", "doc_id", "tokens", "cap", F.xxhash64(F.lit(seed), "mix_name", "doc_id").alias("h"))

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.tokens import TOKENIZERS, VOCABULARY, count_column
-from lectern.plans.staging import stage
+from lectern.plans.staging import stage, within
 
 #: Documents of one shard, about. A shard is packed by one task; its last containers are all that sharding wastes.
 SHARD_DOCS = 20_000
+#: Limits that one call packs for.
+MAX_BOXES = 1000
 
 
 def sized_documents(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -133,7 +135,10 @@ def containers(sized: DataFrame, limits: DataFrame, shard_docs: int = SHARD_DOCS
     sums per shard and source tell beforehand, is carried into a shard as its deficits, so shards run side by side.
     A null source is a source of its own.
     """
-    boxes = [(r.limit_name, r.max_size) for r in limits.where(F.col("limit_name").endswith("_box") & (F.col("max_size") > 0)).select("limit_name", "max_size").distinct().limit(1000).collect()]
+    named = limits.where(F.col("limit_name").endswith("_box") & (F.col("max_size") > 0)).select("limit_name", "max_size").distinct()
+    if not within(named, MAX_BOXES):
+        raise ValueError(f"more than {MAX_BOXES} limits")
+    boxes = [(r.limit_name, r.max_size) for r in named.collect()]
     n, total = sized.agg(F.count("*"), F.sum("tokens")).first()
     shards = max(1, -(-n // shard_docs))
     items = sized.withColumn("source", F.coalesce("source", F.lit(""))).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
