@@ -70,9 +70,9 @@ def captures(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     rows = rows.withColumn("body", F.regexp_replace("last", MARK, ""))
     open_ = (F.col("body") != F.col("last")) | ~_closed(F.col("last"))
     inside = F.col("body").rlike(SENTENCE_INSIDE)
-    # What follows the last space may be a cut word.
+    # The last word may be cut, which changes it unless it stands for a name, a number or a character.
     words = _words(F.col("body"))
-    whole = F.when(F.col("body").rlike(r"\s"), F.size(words) - 1).otherwise(F.lit(1))
+    whole = F.size(words) - F.when(F.element_at(words, -1).rlike(r"^(?:A|0|_|\p{IsHan})$"), F.lit(0)).otherwise(F.lit(1))
     words = F.slice(words, F.lit(1), F.least(F.greatest(whole, F.lit(1)), F.lit(OPENING_WORDS)))
     seen = rows.select(
         "page_id",
