@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
-from lectern.plans.staging import stage, within
+from lectern.plans.staging import broadcast_within, stage, within
 
 #: Chunks of one source that must hold a line.
 MIN_CHUNKS = 8
 #: Counters of one source's summary. Bounds its size; a source with more lines only gets more candidates to verify.
 WIDTH = 1 << 20
-#: Most rows of a set that is broadcast, at 16 bytes a row; larger sets are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Most rows of a set that is broadcast, each two hashes, so some 50 MB as a hash table; larger sets are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
 def line_key(c: Column) -> Column:
@@ -29,11 +29,6 @@ def lines_of(chunks: DataFrame) -> DataFrame:
     return each.select("chunk_id", "source", (F.col("at") + 1).alias("line_no"), line_key(F.col("raw")).alias("line")).where("line is not null")
 
 
-def _sized(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    small = within(df, max_rows)
-    return (F.broadcast(df) if small else df), small
-
-
 def site_lines(lines: DataFrame, min_chunks: int = MIN_CHUNKS, width: int = WIDTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``source``, ``line``, ``chunks``: the lines that stand in at least ``min_chunks`` chunks of a source.
 
@@ -45,7 +40,7 @@ def site_lines(lines: DataFrame, min_chunks: int = MIN_CHUNKS, width: int = WIDT
     """
     slot = F.pmod("line", F.lit(width)).cast("int")
     heavy = lines.groupBy("source", slot.alias("slot")).count().where(F.col("count") >= min_chunks).select("source", "slot")
-    heavy, _ = _sized(stage(heavy, "heavy-slots"), broadcast_rows)
+    heavy = broadcast_within(stage(heavy, "heavy-slots"), broadcast_rows)
     candidates = lines.withColumn("slot", slot).join(heavy, ["source", "slot"], "left_semi")
     return (
         candidates.select("source", "line", "chunk_id").distinct().groupBy("source", "line").agg(F.count("*").alias("chunks")).where(F.col("chunks") >= min_chunks)
@@ -60,7 +55,7 @@ def repeated_lines(chunks: DataFrame, min_chunks: int = MIN_CHUNKS, width: int =
     """
     lines = stage(lines_of(chunks), "lines")
     known = stage(site_lines(lines, min_chunks, width, broadcast_rows).select("source", "line"), "site-lines")
-    known, _ = _sized(known, broadcast_rows)
+    known = broadcast_within(known, broadcast_rows)
     return lines.join(known, ["source", "line"], "left_semi").select("chunk_id", "line_no").distinct()
 
 

@@ -134,4 +134,4 @@ def look_alike_pairs(documents: DataFrame) -> DataFrame:
     )
     a = members.select(F.col("text_id").alias("ta"), F.col("doc_id").alias("x"))
     b = members.select(F.col("text_id").alias("tb"), F.col("doc_id").alias("y"))
-    return links.join(a, "ta").join(b, "tb").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    return links.join(a, "ta").join(b, "tb").where("x <> y").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()

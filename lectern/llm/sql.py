@@ -18,6 +18,13 @@ WITH rows_ AS (
 SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN known USING (source, line)
 """
 
+P2_CLEAN = f"""
+WITH found_ AS ({P2_FOUND}), gone_ AS (SELECT chunk_id, list(line_no) AS n FROM found_ GROUP BY chunk_id),
+kept_ AS (SELECT chunk_id, source_id, text, string_split(text, chr(10)) AS ls, coalesce(n, []) AS n FROM chunks LEFT JOIN gone_ USING (chunk_id))
+SELECT chunk_id, source_id, text, array_to_string(list_filter(ls, lambda x, i: NOT list_contains(n, CAST(i AS INTEGER))), chr(10)) AS clean_text,
+  CAST(len(list_filter(ls, lambda x, i: list_contains(n, CAST(i AS INTEGER)))) AS INTEGER) AS lines_removed FROM kept_
+"""
+
 P3_FOUND = rf"""
 SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL
 AND length(regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '')) > 950
@@ -25,4 +32,4 @@ AND length(regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$',
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p3_found": P3_FOUND}
+    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND}
