@@ -66,13 +66,14 @@ def parse_capture(blob: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$[0].text", "string"), F.try_variant_get(v, "$.text", "string"), blob)
 
 
-def match_captures(captures: DataFrame, manifest: DataFrame) -> DataFrame:
+def match_captures(captures: DataFrame, manifest: DataFrame, only: str = "") -> DataFrame:
     """Captures whose URL the manifest has, with its ``file``; joined on the normalized URL.
 
     A null URL is looked for in the capture's first lines; a capture without any is left out. Of manifest rows with
-    the same normalized URL the one with the last ``file`` counts.
+    the same normalized URL the one with the last ``file`` counts. ``only`` keeps files with that in their name, whatever the case.
     """
     last = manifest.where("file is not null").select(norm_url(F.col("url")).alias("key"), "file").where("key <> ''").groupBy("key").agg(F.max("file").alias("file"))
+    last = last.where(F.lower("file").contains(only.lower())) if only else last
     url = F.coalesce("url", first_url(F.col("text")))
     return captures.drop("file").withColumn("key", norm_url(url)).where("key <> ''").join(last, "key").drop("key")
 

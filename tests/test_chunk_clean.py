@@ -64,6 +64,7 @@ def test_captures(spark):
     df = spark.createDataFrame(rows, schema)
     manifest = spark.createDataFrame([("a1", "https://x.y/p"), ("a2", "http://x.y/p/index.php"), ("b1", "x.y/q"), (None, None)], "file string, url string")
     assert {(r.page_id, r.file) for r in L.match_captures(df, manifest).collect()} == {(1, "a2"), (2, "a2"), (3, "a2"), (5, "b1")}
+    assert {r.page_id for r in L.match_captures(df, manifest, "B1").collect()} == {5}
     assert {(r.file, r.page_id) for r in L.largest_capture(df).collect()} == {("a", 2), ("b", 5)}
 
 

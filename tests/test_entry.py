@@ -27,3 +27,18 @@ def test_rows_equal_sql(spark):
         got = sorted(map(repr, (tuple(r[c] for c in cols) for r in df.collect())))
         rel = con.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({entry.oracle_sql()[name]})").fetchall()
         assert got == sorted(map(repr, rel)), name
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_workers_get_the_package(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(HERE)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert e.entry(s).count() > 0
+"""
+    import os
+
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env=env, timeout=300)
