@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 
 
+#: The same characters one by one, for functions that take a set of them.
+SPACES = "".join(chr(i) for i in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column) -> Column:
-    """``c`` without white space of any kind at its two ends."""
-    return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+$", "")
+    """``c`` without white space of any kind at its two ends. Looks at the ends only."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def unify_newlines(c: Column) -> Column:
