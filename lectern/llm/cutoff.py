@@ -15,6 +15,10 @@ MIN_AT_LIMIT, SIGMAS = 4, 6.0
 MIN_OPENINGS = 3
 #: Words of a line that make its opening.
 OPENING_WORDS = 4
+#: How much of a line's end, and of its end with an address, is looked at for what it ends with.
+TAIL, LONG_TAIL = 64, 240
+#: How much of a line's beginning is looked at for its opening.
+HEAD = 64
 #: From this length a line with a sentence end inside is prose whatever its opening.
 PROSE_LENGTH = 150
 
@@ -64,10 +68,11 @@ def captures(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     owner = manifest.where("file is not null").groupBy("file").agg(F.min(source_key(F.col("source_id"))).alias("source"))
     # A byte limit can leave half a character, which readers turn into U+FFFD.
-    text = F.regexp_replace("text", "\ufffd+$", "")
+    text = F.rtrim("text", F.lit("\ufffd"))
     rows = pages.where(F.col("page_id").isNotNull() & ~is_blank(F.col("text"))).select("page_id", "file", text.alias("text"))
     rows = rows.withColumn("last", F.trim(F.substring_index(unify_newlines(strip(F.col("text"))), "\n", -1)))
-    rows = rows.withColumn("body", F.regexp_replace("last", MARK, ""))
+    before = F.substring(F.col("last"), F.lit(1), F.greatest(F.length("last") - TAIL, F.lit(0)))
+    rows = rows.withColumn("body", F.concat(before, F.regexp_replace(F.right("last", F.lit(TAIL)), MARK, "")))
     open_ = (F.col("body") != F.col("last")) | ~_closed(F.col("last"))
     inside = F.col("body").rlike(SENTENCE_INSIDE)
     # The last word may be cut, which changes it unless it stands for a name, a number or a character.
@@ -107,14 +112,14 @@ def field_limits(rows: DataFrame) -> DataFrame:
 
 def _words(line: Column) -> Column:
     """Words that open a line, without what varies: digits are 0, capitalized words after the first are A; Chinese characters are words, and a space among them too."""
-    head = F.regexp_replace(F.substring(line, 1, 100), r"\d+(?:[.,]\d+)*", "0")
+    head = F.regexp_replace(F.substring(line, 1, HEAD), r"\d+(?:[.,]\d+)*", "0")
     latin = F.regexp_replace(head, r"(?<=[\s«“„(])\p{Lu}[\p{L}’'\-]*", "A")
     han = F.regexp_replace(F.regexp_replace(F.regexp_replace(head, r"[A-Za-z]+", "A"), r"\s+", " _ "), r"(\p{IsHan})", "$1 ")
     return F.split(F.trim(F.regexp_replace(F.when(head.rlike(r"\p{IsHan}"), han).otherwise(latin), r"\s+", " ")), " ")
 
 
 def _closed(line: Column) -> Column:
-    return line.rlike(CLOSED) & ~line.rlike(OPEN_AFTER_ALL)
+    return F.right(line, F.lit(TAIL)).rlike(CLOSED) & ~F.right(line, F.lit(LONG_TAIL)).rlike(OPEN_AFTER_ALL)
 
 
 def openings(pages: DataFrame) -> DataFrame:
@@ -125,7 +130,7 @@ def openings(pages: DataFrame) -> DataFrame:
     lines = F.split(unify_newlines(strip(F.col("text"))), "\n")
     inner = pages.where("text is not null").select(F.explode(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("line"))
     inner = inner.select(F.trim("line").alias("line")).where("line <> ''")
-    longest = inner.select(F.array_join(F.slice(_words(F.col("line")), 1, OPENING_WORDS), " ").alias("opening"), F.col("line").rlike(CLOSED).cast("int").alias("c"))
+    longest = inner.select(F.array_join(F.slice(_words(F.col("line")), 1, OPENING_WORDS), " ").alias("opening"), F.right("line", F.lit(TAIL)).rlike(CLOSED).cast("int").alias("c"))
     longest = longest.groupBy("opening").agg(F.count("*").alias("n"), F.sum("c").alias("closed"))
     words = F.split("opening", " ")
     shorter = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
