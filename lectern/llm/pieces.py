@@ -96,7 +96,8 @@ def pack(text: str, limit: int, overlap: int) -> list[Span]:
 
 
 def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """(start, end, piece): every piece but the first starts with the last ``overlap`` code points of the one before."""
+    """(start, end, piece) of the stripped text: every piece but the first starts with the last ``overlap`` code points of the one before."""
+    text = text.strip()
     out: list[tuple[int, int, str]] = []
     last = 0
     for s, e in pack(text, limit, overlap):
