@@ -12,6 +12,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -19,9 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages that the classifier is fitted on, about; a bound whatever the size of the table.
+from lectern.plans.staging import stage, within
+
+#: Pages whose lines the classifier's weights are fitted on, about; a bound whatever the size of the table. What labels these lines is counted over all pages.
 SAMPLE_PAGES = 4000
-#: Files of the sample in which a line, or the shape of a line, stands before it is taken for furniture when fitting.
+#: Most common words, and most labels that stand in breadcrumbs, that go to every worker; larger sets are joined to the pages by shuffling.
+KNOWN = 300_000
+#: Files of the table in which a line, or the shape of a line, stands before it is taken for furniture when fitting.
 MIN_FILES, MIN_SHAPE_FILES = 4, 8
 #: Features with a weight, at most.
 MAX_FEATURES = 1 << 16
@@ -47,7 +52,11 @@ class Model:
 
     weights: dict[str, float] = field(default_factory=dict)
     common: frozenset[str] = frozenset()
-    labels: frozenset[str] = frozenset()
+    labels: frozenset[int] = frozenset()
+
+
+def _hash(s: str) -> int:
+    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def site_of(url: str | None, text: str) -> str:
@@ -99,18 +108,33 @@ def mask(line: str, site: str, subjects: tuple[str, ...]) -> str:
     return m.replace(site, "¤") if site else m
 
 
-def _label(s: str) -> str:
-    return " ".join(_WORD.findall(_LINK.sub("]", s)))
+def _label(s: str) -> int:
+    """Hash of the words of a label; 0 if it has none."""
+    words = _WORD.findall(_LINK.sub("]", s))
+    return _hash(" ".join(words)) if words else 0
 
 
-def is_crumb(masked: str, labels: frozenset[str]) -> bool:
-    """Whether a line is a trail of known labels, whatever else stands in it."""
+def _parts(masked: str) -> list[int]:
+    """The labels between the marks of a trail; none if a line isn't one."""
     if masked[:1] == "|" or not _CRUMB.search(masked):
-        return False
-    return any(_label(p) in labels for p in _CRUMB.split(masked))
+        return []
+    return [_label(p) for p in _CRUMB.split(masked)]
+
+
+def is_crumb(masked: str, labels: frozenset[int]) -> bool:
+    """Whether a line is a trail of known labels, whatever else stands in it."""
+    return any(p in labels for p in _parts(masked))
+
 
+def _may_be_label(masked: str) -> bool:
+    return "§" not in masked and len(masked) < 120 and not _CRUMB.search(masked)
 
-def features(masked: str, labels: frozenset[str]) -> list[str]:
+
+def _shape(masked: str, common: frozenset[str]) -> str:
+    return _WORD.sub(lambda w: w.group(0) if w.group(0) in common else "*", _LINK.sub("]", masked))
+
+
+def features(masked: str, labels: frozenset[int]) -> list[str]:
     """What the classifier sees of a masked line."""
     kind = (_KIND.match(masked).group(0) or "").strip()
     kind = "0" if kind[:1].isdigit() else kind[:2]
@@ -139,10 +163,9 @@ def features(masked: str, labels: frozenset[str]) -> list[str]:
 
 
 def fit(pages: list[tuple[str | None, str | None, str]]) -> Model:
-    """A logistic classifier fitted on labels that the pages give themselves.
+    """A logistic classifier fitted on labels that the pages give themselves, all counts taken from these pages.
 
-    ``pages`` are (file, url, text). Furniture are lines, or shapes of lines with uncommon words left out, that stand in several files without their subjects,
-    and trails of such lines; body are lines with their page's subject, and prose that stands nowhere else. Other lines are not used.
+    ``pages`` are (file, url, text).
     """
     files: dict[str, set] = defaultdict(set)
     for i, (file, _, text) in enumerate(pages):
@@ -159,20 +182,24 @@ def fit(pages: list[tuple[str | None, str | None, str]]) -> Model:
             m = mask(line, site, subjects)
             e = seen.get(m)
             if e is None:
-                shape = _WORD.sub(lambda w: w.group(0) if w.group(0) in common else "*", _LINK.sub("]", m))
-                e = seen[m] = [set(), 0, shape]
+                e = seen[m] = [set(), 0, _shape(m, common)]
             e[0].add(file or i)
             e[1] += 1
             shapes[e[2]].add(file or i)
-    labels = frozenset(
-        _label(m)
-        for m, (f, _, _) in seen.items()
-        if len(f) >= MIN_FILES and "§" not in m and len(m) < 120 and not _CRUMB.search(m)
-    ) - {""}
+    labels = frozenset(_label(m) for m, (f, _, _) in seen.items() if len(f) >= MIN_FILES and _may_be_label(m)) - {0}
+    return fit_lines({m: (n, len(f), len(shapes[shape])) for m, (f, n, shape) in seen.items()}, common, labels)
+
+
+def fit_lines(lines: dict[str, tuple[int, int, int]], common: frozenset[str], labels: frozenset[int]) -> Model:
+    """Fits on masked lines with their number, the files that they stand in and the files that their shape stands in.
+
+    Furniture are lines, or shapes of lines with uncommon words left out, that stand in several files without their subjects,
+    and trails of such lines; body are lines with their page's subject, and prose that stands nowhere else. Other lines are not used.
+    """
     rows: list[list[str]] = []
     ys: list[float] = []
     ns: list[float] = []
-    for m, (f, n, shape) in seen.items():
+    for m, (n, files, shape_files) in lines.items():
         if not _WORD.search(_LINK.sub("]", m)):
             continue
         crumb = is_crumb(m, labels)
@@ -180,9 +207,9 @@ def fit(pages: list[tuple[str | None, str | None, str]]) -> Model:
             y = 1.0
         elif "§" in m:
             y = 0.0
-        elif len(f) >= MIN_FILES or len(shapes[shape]) >= MIN_SHAPE_FILES and not _CLOSED.search(m):
+        elif files >= MIN_FILES or shape_files >= MIN_SHAPE_FILES and not _CLOSED.search(m):
             y = 1.0
-        elif len(f) == 1 and len(_END.findall(m)) >= 2 and len(m) >= 80 and _CLOSED.search(m):
+        elif files == 1 and len(_END.findall(m)) >= 2 and len(m) >= 80 and _CLOSED.search(m):
             y = 0.0
         else:
             continue
@@ -239,14 +266,14 @@ class Labeller:
     def __init__(self, model: Model, known: int = 300_000):
         self.model, self.known, self.costs = model, known, {}
 
-    def cost(self, masked: str) -> float:
+    def cost(self, masked: str, labels: frozenset[int] | None = None) -> float:
         c = self.costs.get(masked)
         if c is None:
             if not _WORD.search(_LINK.sub("]", masked)):
                 c = 0.0
             else:
                 w = self.model.weights
-                z = w.get("", 0.0) + sum(w.get(x, 0.0) for x in features(masked, self.model.labels))
+                z = w.get("", 0.0) + sum(w.get(x, 0.0) for x in features(masked, self.model.labels if labels is None else labels))
                 c = min(max(z, -MAX_COST), MAX_COST)
             if len(masked) < 200:
                 if len(self.costs) >= self.known:
@@ -254,11 +281,14 @@ class Labeller:
                 self.costs[masked] = c
         return c
 
-    def page(self, url: str | None, text: str) -> tuple[list[int], list[float], list[float]]:
-        """Numbers, costs and edges of the non-blank lines."""
+    def page(self, url: str | None, text: str, about: tuple | None = None) -> tuple[list[int], list[float], list[float]]:
+        """Numbers, costs and edges of the non-blank lines. ``about``: the page's site and subjects and the labels it may have, if known."""
         raw = text.split("\n")
-        site = site_of(url, text)
-        subjects = subjects_of(url, text, site, self.model.common)
+        if about:
+            site, subjects, labels = about
+        else:
+            site, labels = site_of(url, text), None
+            subjects = subjects_of(url, text, site, self.model.common)
         numbers, costs, edges, last, kind = [], [], [], 0, ""
         for no, line in enumerate(raw, 1):
             line = line.strip()
@@ -267,7 +297,7 @@ class Labeller:
             if len(line) >= PROSE and line[0] not in "|-*•›[" and len(_END.findall(line)) > 1:
                 c, k = -MAX_COST, "prose"
             else:
-                c, k = self.cost(mask(line, site, subjects)), line[0] if line[0] in "|-*•›" else line[:2] if line[0] in "#![" else ""
+                c, k = self.cost(mask(line, site, subjects), labels), line[0] if line[0] in "|-*•›" else line[:2] if line[0] in "#![" else ""
             if numbers:
                 edges.append(APART if no > last + 1 else ALIKE if k and k == kind else NEXT)
             numbers.append(no)
@@ -275,9 +305,9 @@ class Labeller:
             last, kind = no, k
         return numbers, costs, [*edges, 0.0]
 
-    def furniture(self, urls: list[str | None], texts: list[str]) -> list[list[int]]:
+    def furniture(self, urls: list[str | None], texts: list[str], about: list[tuple] | None = None) -> list[list[int]]:
         """The numbers of each page's furniture lines."""
-        got = [self.page(u, t) for u, t in zip(urls, texts, strict=True)]
+        got = [self.page(u, t, a) for u, t, a in zip(urls, texts, about or [None] * len(urls), strict=True)]
         out: list[list[int]] = [[]] * len(got)
         # Pages of like length go through the cut together.
         order = sorted(range(len(got)), key=lambda i: len(got[i][0]))
@@ -294,29 +324,195 @@ class Labeller:
         return out
 
 
-def fit_on(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
-    """Fits on about ``sample_pages`` captures, chosen by a hash of their ids, twice as many at most."""
-    rows = pages.where("page_id is not null and text is not null")
-    total = max(rows.count(), 1)
+class Rare:
+    """The common words of one page, by its words that aren't common."""
+
+    def __init__(self, words: list[str]):
+        self.words = frozenset(words)
+
+    def __contains__(self, word: str) -> bool:
+        return word not in self.words
+
+
+class Inspector:
+    """What is counted of a page's lines; keeps it for masked lines, up to a bound, since they repeat."""
+
+    def __init__(self, known: int = 300_000):
+        self.known, self.lines = known, {}
+
+    def line(self, masked: str, common: frozenset[str] | Rare) -> tuple[int, int, int, list[int]] | None:
+        """Hashes of the line, of its shape and of the label it may be (0 where it has none), and the labels of its trail. None without words."""
+        if masked in self.lines:
+            return self.lines[masked]
+        got = None
+        if _WORD.search(_LINK.sub("]", masked)):
+            shape = 0 if _CLOSED.search(masked) else _hash(_shape(masked, common))
+            got = _hash(masked), shape, _label(masked) if _may_be_label(masked) else 0, _parts(masked)
+        if len(masked) < 200:
+            if len(self.lines) >= self.known:
+                self.lines.clear()
+            self.lines[masked] = got
+        return got
+
+    def page(self, url: str | None, text: str, common: frozenset[str] | Rare) -> tuple[str, tuple[str, ...], list[tuple], list[int]]:
+        """Site, subjects, distinct (line, shape, label) and distinct labels of trails."""
+        site = site_of(url, text)
+        subjects = subjects_of(url, text, site, common)
+        found, parts = set(), set()
+        for line in map(str.strip, text.split("\n")):
+            if line and (got := self.line(mask(line, site, subjects), common)):
+                found.add(got[:3])
+                parts.update(got[3])
+        return site, subjects, list(found), list(parts - {0})
+
+
+def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        each = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in set(_WORD.findall((t or "").lower()))]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in each], pa.int64()), pa.array([w for _, w in each], pa.string())], names=["row", "word"])
+
+
+def _word_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word``, ``n``: files with a word, to be added up. All rows of a file (``key``) must come to one task, one after the other."""
+    count: Counter[str] = Counter()
+    last, words = None, set()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+        count.clear()
+        return out
+
+    for b in batches:
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if key != last:
+                count.update(words)
+                last, words = key, set()
+                if len(count) >= KNOWN:
+                    yield flush()
+            words.update(_WORD.findall(text.lower()))
+    count.update(words)
+    yield flush()
+
+
+def _attach(rows: DataFrame, pairs: DataFrame, known: DataFrame, name: str, how: str) -> DataFrame:
+    """``rows`` with column ``name``: the values of ``pairs`` (``row``, value) of each row that are in ``known`` or, by ``left_anti``, aren't."""
+    value = known.columns[0]
+    found = pairs.join(known, value, how).groupBy("row").agg(F.collect_set(value).alias(name))
+    return rows.join(found, "row", "left")
+
+
+def _common_words(rows: DataFrame) -> DataFrame:
+    """``word``: those that stand in ``MIN_FILES`` files of all pages."""
+    files = rows.where("key is not null").select("key", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_word_files, "word string, n long")
+    return stage(files.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_FILES).select("word"), "common-words")
+
+
+def _inspected(rows: DataFrame, common: frozenset[str]) -> DataFrame:
+    """Each row with its site, its subjects, its lines as hashes and the labels of its trails; staged. Words are common as column ``rare`` says, if it is there."""
+    joined = "rare" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inspector = Inspector()
+        for b in batches:
+            rare = [Rare(x or []) for x in b.column(5).to_pylist()] if joined else [common] * b.num_rows
+            got = [inspector.page(u, t or "", c) for u, t, c in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), rare, strict=True)]
+            longs = pa.list_(pa.int64())
+            made = [
+                pa.array([g[0] for g in got], pa.string()),
+                pa.array([g[1] for g in got], pa.list_(pa.string())),
+                *(pa.array([[x[k] for x in g[2]] for g in got], longs) for k in range(3)),
+                pa.array([g[3] for g in got], longs),
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), *made], names=["row", "key", "page_id", "text", "site", "subjects", "line", "shape", "label", "parts"])
+
+    out = rows.select("row", "key", "page_id", "url", "text", *["rare"] * joined).mapInArrow(
+        run, "row long, key long, page_id long, text string, site string, subjects array<string>, line array<long>, shape array<long>, label array<long>, parts array<long>"
+    )
+    return stage(out, "inspected-pages")
+
+
+def prepare(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, known: int = KNOWN) -> tuple[DataFrame, Model]:
+    """The pages with their sites and subjects (``site``, ``subjects``), and a model.
+
+    The files that words, lines and shapes of lines stand in are counted over all pages. The weights are fitted on the lines of about
+    ``sample_pages`` captures, chosen by a hash of their ids, twice as many at most, with the labels that those counts give them. Of more than ``known``
+    common words or labels of trails each page gets its own by a join, in column ``labels``; the model then has none.
+    """
+    file = F.when(F.col("file") != "", F.xxhash64("file")).otherwise(F.xxhash64("page_id", F.lit("")))
+    rows = pages.select("page_id", "file", "url", "text").withColumn("key", F.when(F.col("page_id").isNotNull() & F.col("text").isNotNull(), file))
+    words = _common_words(rows)
+    if within(words, known):
+        common = frozenset(r.word for r in words.collect())
+        done = _inspected(rows.withColumn("row", F.monotonically_increasing_id()), common)
+    else:
+        common = frozenset()
+        rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+        pairs = rows.select("row", "text").mapInArrow(_page_words, "row long, word string")
+        done = _inspected(_attach(rows, pairs, words, "rare", "left_anti"), common)
+
+    counted = done.where("key is not null")
+    each = counted.select("key", F.inline(F.arrays_zip("line", "shape", "label")))
+    lines = stage(each.distinct().groupBy("line", "shape", "label").agg(F.count("*").alias("files")), "line-files")
+    shapes = each.where("shape != 0").select("shape", "key").distinct().groupBy("shape").agg(F.count("*").alias("shape_files"))
+    in_trails = done.select(F.explode("parts").alias("label")).distinct()
+    labels = stage(lines.where((F.col("files") >= MIN_FILES) & (F.col("label") != 0)).select("label").distinct().join(in_trails, "label", "left_semi"), "labels")
+    if everywhere := within(labels, known):
+        fixed = frozenset(r.label for r in labels.collect())
+    else:
+        fixed = frozenset()
+        done = _attach(done, done.select("row", F.explode("parts").alias("label")), labels, "labels", "left_semi")
+
+    total = max(counted.count(), 1)
     share = min(1.0, sample_pages / total)
-    picked = rows.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("file", "url", "text").limit(2 * sample_pages)
-    return fit([(r.file, r.url, r.text) for r in picked.collect()])
+    picked = counted.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample_pages)
+    picked = stage(picked.select("text", "site", "subjects", "line", "shape", "parts"), "sample")
+    mine = picked.select(F.inline(F.arrays_zip("line", "shape"))).distinct()
+    mine = mine.join(lines.select("line", "files"), "line").join(shapes, "shape", "left").select("line", "files", F.coalesce("shape_files", F.lit(0)).alias("shape_files"))
+    files = {r.line: (r.files, r.shape_files) for r in mine.collect()}
+    if not everywhere:
+        fitting = frozenset(r.label for r in labels.join(picked.select(F.explode("parts").alias("label")).distinct(), "label", "left_semi").collect())
+    count: Counter[str] = Counter()
+    for r in picked.select("text", "site", "subjects").toLocalIterator():
+        count.update(mask(x, r.site, tuple(r.subjects)) for x in map(str.strip, r.text.split("\n")) if x)
+    model = fit_lines({m: (n, *files[h]) for m, n in count.items() if (h := _hash(m)) in files}, common, fixed if everywhere else fitting)
+    return done, Model(model.weights, common, fixed)
+
+
+def fit_on(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
+    """The model of ``prepare``."""
+    return prepare(pages, sample_pages)[1]
+
+
+def _labelled(pages: DataFrame, model: Model | None, known: int = KNOWN) -> tuple[DataFrame, Model]:
+    """``page_id``, ``url``, ``text`` and, unless a model is given, what is known ``about`` each page."""
+    if model:
+        return pages.select("page_id", "url", "text"), model
+    done, model = prepare(pages, known=known)
+    labels = F.col("labels") if "labels" in done.columns else F.lit(None).cast("array<bigint>")
+    return done.select("page_id", F.lit(None).cast("string").alias("url"), "text", "site", "subjects", labels.alias("labels"), F.lit("labels" in done.columns).alias("joined")), model
+
+
+def _about(b: pa.RecordBatch) -> list[tuple] | None:
+    if b.num_columns == 3:
+        return None
+    site, subjects, labels, joined = (b.column(k).to_pylist() for k in range(3, 7))
+    return [(s, tuple(x), frozenset(y or []) if j else None) for s, x, y, j in zip(site, subjects, labels, joined, strict=True)]
 
 
-def furniture_lines(pages: DataFrame, model: Model | None = None) -> DataFrame:
+def furniture_lines(pages: DataFrame, model: Model | None = None, known: int = KNOWN) -> DataFrame:
     """``page_id`` and ``lines``, the numbers of the non-blank lines that are not main body, for each row with id and text.
 
     Lines are what stands between line feeds, numbered from 1. Blank texts have no lines. Input: ``page_id``, ``file``, ``url``, ``text``.
     """
-    model = model or fit_on(pages)
+    rows, model = _labelled(pages, model, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for b in batches:
-            lines = labeller.furniture(b.column(1).to_pylist(), b.column(2).to_pylist())
+            lines = labeller.furniture(b.column(1).to_pylist(), b.column(2).to_pylist(), _about(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.list_(pa.int32()))], names=["page_id", "lines"])
 
-    return pages.where("page_id is not null and text is not null").select("page_id", "url", "text").mapInArrow(run, "page_id long, lines array<int>")
+    return rows.where("page_id is not null and text is not null").mapInArrow(run, "page_id long, lines array<int>")
 
 
 def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -324,13 +520,13 @@ def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null texts stay null; a page of furniture alone has an empty main text.
     """
-    model = model or fit_on(pages)
+    rows, model = _labelled(pages, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for b in batches:
             texts = b.column(2).to_pylist()
-            drop = labeller.furniture(b.column(1).to_pylist(), [t or "" for t in texts])
+            drop = labeller.furniture(b.column(1).to_pylist(), [t or "" for t in texts], _about(b))
             out = []
             for t, d in zip(texts, drop, strict=True):
                 gone = set(d)
@@ -338,7 +534,7 @@ def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 out.append(None if kept is None else re.sub(r"\n\s*\n\s*", "\n\n", kept).strip())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["page_id", "main_text"])
 
-    return pages.select("page_id", "url", "text").mapInArrow(run, "page_id long, main_text string")
+    return rows.mapInArrow(run, "page_id long, main_text string")
 
 
 def not_main_body(pages: DataFrame, model: Model | None = None) -> DataFrame:

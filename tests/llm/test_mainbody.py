@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lectern.llm.mainbody import Labeller, Model, fit, furniture_lines, main_bodies, min_cut, not_main_body
+from lectern.llm.mainbody import Labeller, Model, fit, fit_on, furniture_lines, main_bodies, min_cut, not_main_body
 
 PAGE = "page_id long, file string, url string, text string, lines string, main_text string"
 
@@ -51,3 +51,22 @@ def test_empty_table_and_unfitted_model(spark):
     df = spark.createDataFrame([], PAGE)
     assert not_main_body(df).count() == 0 and furniture_lines(df, Model()).count() == 0
     assert fit([]).weights == {} and Labeller(Model()).furniture([None], ["a line\nanother"]) == [[]]
+
+
+def test_counts_are_of_all_pages_whatever_the_sample(spark):
+    rows = site_pages()
+    # A trail and its label that only four files have, so hardly any sample holds them.
+    rows = [(*r[:3], r[3] + ("\nHonours office\nHome > Honours office" if r[0] % 15 == 0 else ""), *r[4:]) for r in rows]
+    df = spark.createDataFrame([*rows, *rows[:9]], PAGE)
+    whole = fit([(r[1], r[2], r[3]) for r in rows])
+    for sample in (1, 6, 1000):
+        got = fit_on(df, sample)
+        assert got.common == whole.common and "honours" in got.common
+        assert got.labels and got.labels <= whole.labels
+    assert set(got.weights) == set(whole.weights)
+
+
+def test_shuffled_counts_give_the_same_lines(spark):
+    df = spark.createDataFrame([(*r[:3], r[3] + "\nHome > Fees\nHome > Programs", *r[4:]) for r in site_pages()], PAGE)
+    fixed, joined = (sorted((r.page_id, r.lines) for r in furniture_lines(df, known=k).collect()) for k in (1000, 0))
+    assert fixed == joined and all(x[-2:] == [18, 19] for _, x in fixed)
