@@ -70,3 +70,10 @@ def test_shuffled_counts_give_the_same_lines(spark):
     df = spark.createDataFrame([(*r[:3], r[3] + "\nHome > Fees\nHome > Programs", *r[4:]) for r in site_pages()], PAGE)
     fixed, joined = (sorted((r.page_id, r.lines) for r in furniture_lines(df, known=k).collect()) for k in (1000, 0))
     assert fixed == joined and all(x[-2:] == [18, 19] for _, x in fixed)
+
+
+def test_long_notice_on_every_page_is_furniture(spark):
+    notice = " ".join(f"This website keeps {x} with the help of cookies and nobody reads them twice." for x in ("statistics", "visits", "choices", "languages", "sessions"))
+    assert len(notice) > 260
+    df = spark.createDataFrame([(*r[:3], r[3] + "\n\n" + notice, *r[4:]) for r in site_pages()], PAGE)
+    assert all(r.lines == [*FURNITURE, 19] for r in furniture_lines(df).collect())
