@@ -154,7 +154,7 @@ def features(masked: str, labels: frozenset[int]) -> list[str]:
         out.append("shortened")
     if words:
         out += [f"first {words[0]}", f"last {words[-1]}", f"first {' '.join(words[:2])}"]
-        out += [f"w {w}" for w in set(words[:40])]
+        out += [f"w {w}" for w in set(words)]
         if out[5] == "subject":
             out += [f"subject first {words[0]}", f"subject last {words[-1]}", f"subject words {min(len(words), 8)}"]
     return out

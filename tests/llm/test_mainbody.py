@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lectern.llm.mainbody import Labeller, Model, fit, fit_on, furniture_lines, main_bodies, min_cut, not_main_body
+from lectern.llm.mainbody import Labeller, Model, features, fit, fit_on, furniture_lines, main_bodies, min_cut, not_main_body
 
 PAGE = "page_id long, file string, url string, text string, lines string, main_text string"
 
@@ -77,3 +77,8 @@ def test_long_notice_on_every_page_is_furniture(spark):
     assert len(notice) > 260
     df = spark.createDataFrame([(*r[:3], r[3] + "\n\n" + notice, *r[4:]) for r in site_pages()], PAGE)
     assert all(r.lines == [*FURNITURE, 19] for r in furniture_lines(df).collect())
+
+
+def test_features_have_the_words_of_the_whole_line():
+    line = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr") + " 一二三"
+    assert {f for f in features(line, frozenset()) if f.startswith("w ")} == {f"w {w}" for w in [*line.split()[:-1], *"一二三"]}
