@@ -73,22 +73,27 @@ def without_site_lines(chunks: DataFrame, min_chunks: int = MIN_CHUNKS, broadcas
     """Every row of ``chunks`` with ``clean_text``, its text without the repeated lines, and ``lines_removed``.
 
     The confirmed lines of a source go to each of its rows as one broadcast set. Where the sets
-    together exceed ``broadcast_rows`` the lines to drop are found by a shuffle and joined on ``chunk_id``.
+    together exceed ``broadcast_rows`` the lines to drop are found by a shuffle and joined on hashes of source and text.
     Null texts stay null; a chunk without source or id keeps its text.
     """
     if "clean_text" in chunks.columns or "lines_removed" in chunks.columns:
         chunks = chunks.drop("clean_text", "lines_removed")
     known = stage(site_lines(stage(lines_of(chunks), "lines"), min_chunks).select("source", "line"), "site-lines")
     split = F.split("text", "\n")
+    source = F.when(F.col("chunk_id").isNotNull() & F.col("source_id").isNotNull(), F.xxhash64(F.lower(strip(F.col("source_id")))))
+    rows = chunks.withColumn("__source", source)
     if within(known, broadcast_rows):
         sets = known.groupBy("source").agg(F.collect_set("line").alias("__set")).withColumnRenamed("source", "__source")
-        source = F.when(F.col("chunk_id").isNotNull(), F.xxhash64(F.lower(strip(F.col("source_id")))))
-        rows = chunks.withColumn("__source", F.when(F.col("source_id").isNotNull(), source)).join(F.broadcast(sets), "__source", "left")
+        rows = rows.join(F.broadcast(sets), "__source", "left")
         kept = F.filter(split, lambda x: ~F.coalesce(F.array_contains(F.col("__set"), line_key(x)), F.lit(False)))
     else:
-        drop = repeated_lines(chunks, min_chunks).groupBy("chunk_id").agg(F.collect_set("line_no").alias("__set"))
-        rows = chunks.join(drop, "chunk_id", "left").withColumn("__source", F.lit(None))
-        kept = F.filter(split, lambda x, i: ~F.coalesce(F.array_contains(F.col("__set"), i + 1), F.lit(False)))
+        rows = rows.withColumn("__text", F.xxhash64("text"))
+        each = rows.where("__source is not null and text is not null").select("__source", "__text", F.posexplode(split).alias("at", "raw"))
+        each = each.select("__source", "__text", "at", line_key(F.col("raw")).alias("line")).where("line is not null")
+        hits = each.join(known.withColumnRenamed("source", "__source"), ["__source", "line"], "left_semi")
+        drop = hits.groupBy("__source", "__text").agg(F.collect_set("at").alias("__set"))
+        rows = rows.join(drop, ["__source", "__text"], "left")
+        kept = F.filter(split, lambda x, i: ~F.coalesce(F.array_contains(F.col("__set"), i), F.lit(False)))
     out = rows.withColumn("__kept", F.when(F.col("__set").isNull(), split).otherwise(kept))
     return out.select(
         *[F.col(c) for c in chunks.columns],

@@ -63,3 +63,10 @@ def test_report_and_empty(spark):
     assert all(r.chunks >= 8 for r in site_line_report(spark.createDataFrame(sample(), CHUNK)).collect())
     empty = spark.createDataFrame([], CHUNK)
     assert repeated_lines(empty).count() == 0 and without_site_lines(empty).count() == 0
+
+
+def test_clean_texts_of_one_id_either_way(spark):
+    rows = [*sample(), ("c1", "s1", "page 5\nnew\n© Site", "x", "y"), ("c1", "s2", "Page 1 of 2\nother", "x", "y"), ("c1", None, "Page 1 of 2\n© Site", "x", "y"), ("c2", "s9", "© Site\nkept", "x", "y"), (None, "s1", "© Site", "x", "y")]
+    df = spark.createDataFrame(rows, CHUNK)
+    one, two = (sorted(map(str, without_site_lines(df, broadcast_rows=most).collect())) for most in (1_000_000, 0))
+    assert one == two and len(one) == len(rows)
