@@ -1,22 +1,23 @@
 """Problem 5: the main body of a page apart from the furniture of its site.
 
 Each page is a graph of its lines. A classifier's costs are the capacities between a line and the two terminals,
-body and furniture; smoothness edges join each line to the next, stronger within a block and
-between lines of one list or table. The minimum cut labels the lines. All edges join neighbors, so the graph is a path between the
-terminals and its maximum flow, hence the minimum cut, is found exactly by a recurrence along the path, for many pages at once.
+body and furniture. Smoothness edges join each line to the next, and lines that are near in the page's structure: the items of a list or rows of a table to
+its first, the blocks of a section to its heading, a heading to the heading above it. A maximum flow gives the minimum cut, which labels the lines.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
+from itertools import chain
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from lectern.plans.staging import stage, within
 
 #: Pages whose lines the classifier's weights are fitted on, about; a bound whatever the size of the table. What labels these lines is counted over all pages.
 SAMPLE_PAGES = 4000
+#: Characters that these pages have together, about, and that one of them has at most; bounds the sample in bytes.
+SAMPLE_CHARS, PAGE_CHARS = 32_000_000, 200_000
 #: Most common words, and most labels that stand in breadcrumbs, that go to every worker; larger sets are joined to the pages by shuffling.
 KNOWN = 300_000
 #: Files of the table in which a line, or the shape of a line, stands before it is taken for furniture when fitting.
@@ -32,6 +35,10 @@ MIN_FILES, MIN_SHAPE_FILES = 4, 8
 MAX_FEATURES = 1 << 16
 #: Bound of a line's cost, and the smoothness of lines in a row, of one kind in a row, and across a blank line.
 MAX_COST, NEXT, ALIKE, APART = 6.0, 0.6, 1.2, 0.25
+#: Smoothness of an item and its list's first one, and of a block, or a heading, and the heading that it stands under.
+ITEM, SECTION = 0.3, 0.15
+#: Letters of a word that may name a page's subject, and of an address's last part that may, at least.
+SUBJECT_LETTERS, SLUG_LETTERS = 5, 4
 
 _WORD = re.compile(r"[^\W\d_⺀-鿿가-\ud7af]+|[⺀-鿿가-\ud7af]")
 _NUMBER = re.compile(r"\d+")
@@ -42,6 +49,32 @@ _KIND = re.compile(r"(!\[|#+|\d+[.)]\s|[-*+•›»«|>]|\[)?")
 _CRUMB = re.compile(r"\s[>/»›→|·]\s")
 _HOST = re.compile(r"https?://([^/\s)\]]+)")
 _INDEX = re.compile(r"^(index|default|home)?(\.\w+)?$", re.I)
+_HEADING = re.compile(r"#{1,6}(?=[ \t])")
+
+
+class _Words(dict):
+    """The words of what stands between spaces, kept up to a bound: they repeat, and a lookup costs less than a search."""
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        words = tuple(_WORD.findall(token))
+        if len(token) <= 40:
+            if len(self) >= 200_000:
+                self.clear()
+            self[token] = words
+        return words
+
+
+_known_words = _Words()
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, and Chinese characters one by one, in order."""
+    return list(chain.from_iterable(map(_known_words.__getitem__, text.split())))
+
+
+def word_set(text: str) -> set[str]:
+    """The distinct words of a text."""
+    return set(chain.from_iterable(map(_known_words.__getitem__, set(text.split()))))
 
 
 @dataclass
@@ -78,7 +111,7 @@ def subjects_of(url: str | None, text: str, site: str, common: frozenset[str]) -
     slug = ""
     if url:
         parts = [p for p in urlsplit(url).path.split("/") if p and not _INDEX.match(p)]
-        if parts and len(parts[-1]) >= 4:
+        if parts and len(parts[-1]) >= SLUG_LETTERS:
             slug = parts[-1].lower()
     bare = _LINK.sub("]", text.lower())
     if slug and bare.count(slug) >= 2:
@@ -86,8 +119,8 @@ def subjects_of(url: str | None, text: str, site: str, common: frozenset[str]) -
     count: Counter[str] = Counter()
     after: dict[str, set[str]] = defaultdict(set)
     for line in bare.split("\n"):
-        words = _WORD.findall(line)
-        here = {w for w in words if len(w) >= 5 and w not in common and w != site}
+        words = words_of(line)
+        here = {w for w in words if len(w) >= SUBJECT_LETTERS and w not in common and w != site}
         count.update(here)
         for w, following in zip(words, words[1:] + [""], strict=False):
             if w in here:
@@ -106,9 +139,14 @@ def mask(line: str, site: str, subjects: tuple[str, ...]) -> str:
     return m.replace(site, "¤") if site else m
 
 
+def masked_lines(text: str, site: str, subjects: tuple[str, ...]) -> list[str]:
+    """The stripped lines of a text, masked all at once; blank ones are empty."""
+    return [m.strip() for m in mask(text, site, subjects).split("\n")]
+
+
 def _label(s: str) -> int:
     """Hash of the words of a label; 0 if it has none."""
-    words = _WORD.findall(_LINK.sub("]", s))
+    words = words_of(_LINK.sub("]", s))
     return _hash(" ".join(words)) if words else 0
 
 
@@ -125,37 +163,45 @@ def is_crumb(masked: str, labels: frozenset[int]) -> bool:
 
 
 def _may_be_label(masked: str) -> bool:
-    return "§" not in masked and len(masked) < 120 and not _CRUMB.search(masked)
+    return "§" not in masked and not _CRUMB.search(masked)
 
 
 def _shape(masked: str, common: frozenset[str]) -> str:
     return _WORD.sub(lambda w: w.group(0) if w.group(0) in common else "*", _LINK.sub("]", masked))
 
 
-def features(masked: str, labels: frozenset[int]) -> list[str]:
-    """What the classifier sees of a masked line."""
+def _marks(masked: str, bare: str, n_words: int, labels: frozenset[int]) -> list[str]:
+    """What the classifier sees of a masked line but for its words."""
     kind = (_KIND.match(masked).group(0) or "").strip()
     kind = "0" if kind[:1].isdigit() else kind[:2]
-    bare = _LINK.sub("]", masked)
-    words = _WORD.findall(bare)
     ends = len(_END.findall(masked))
-    out = [f"kind {kind}", f"ends {min(ends, 3)}", "closed" if _CLOSED.search(masked) else "open", f"length {min(len(masked) // 20, 12)}", f"kind {kind} words {min(len(words), 8)}"]
+    crumb = is_crumb(masked, labels)
+    out = [f"kind {kind}", f"ends {min(ends, 3)}", "closed" if _CLOSED.search(masked) else "open", f"length {min(len(masked) // 20, 12)}", f"kind {kind} words {min(n_words, 8)}"]
     if "§" in bare:
-        out.append("subject in crumb" if is_crumb(masked, labels) else "subject")
+        out.append("subject in crumb" if crumb else "subject")
     elif "§" in masked:
         out.append("subject in link")
     elif "](" in masked:
         out.append("link elsewhere")
     if "¤" in bare:
         out.append("site")
-    if is_crumb(masked, labels):
+    if crumb:
         out.append("crumb")
     if bare.rstrip(" »]").endswith(("…", "...")):
         out.append("shortened")
+    return out
+
+
+def features(masked: str, labels: frozenset[int]) -> list[str]:
+    """What the classifier sees of a masked line."""
+    bare = _LINK.sub("]", masked)
+    words = words_of(bare)
+    out = _marks(masked, bare, len(words), labels)
     if words:
+        subject = out[5:6] == ["subject"]
         out += [f"first {words[0]}", f"last {words[-1]}", f"first {' '.join(words[:2])}"]
         out += [f"w {w}" for w in set(words)]
-        if out[5] == "subject":
+        if subject:
             out += [f"subject first {words[0]}", f"subject last {words[-1]}", f"subject words {min(len(words), 8)}"]
     return out
 
@@ -167,17 +213,14 @@ def fit(pages: list[tuple[str | None, str | None, str]]) -> Model:
     """
     files: dict[str, set] = defaultdict(set)
     for i, (file, _, text) in enumerate(pages):
-        for w in set(_WORD.findall(text.lower())):
+        for w in word_set(text.lower()):
             files[w].add(file or i)
     common = frozenset(w for w, f in files.items() if len(f) >= MIN_FILES)
     seen: dict[str, list] = {}
     shapes: dict[str, set] = defaultdict(set)
     for i, (file, url, text) in enumerate(pages):
-        lines = [s for s in (x.strip() for x in text.split("\n")) if s]
         site = site_of(url, text)
-        subjects = subjects_of(url, text, site, common)
-        for line in lines:
-            m = mask(line, site, subjects)
+        for m in filter(None, masked_lines(text, site, subjects_of(url, text, site, common))):
             e = seen.get(m)
             if e is None:
                 e = seen[m] = [set(), 0, _shape(m, common)]
@@ -237,24 +280,115 @@ def _logistic(rows: list[list[int]], y: np.ndarray, n: np.ndarray, size: int, ro
     return w
 
 
-def min_cut(cost: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """True where a line is furniture in the minimum cut.
+def min_cut(cost: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """True where a node is furniture in the minimum cut of any graph; ties go to body.
 
-    ``cost`` (pages x lines) is what calling a line body costs more than calling it furniture; ``edge`` the capacity between a line
-    and the next. Pages with fewer lines are filled with cost and capacity 0. ``flow`` is the surplus that a prefix of the path can push on through its last
-    edge: bounded by the edge's capacity both ways, which is all that later lines can see of it. Ties go to body.
+    ``cost`` is what calling a node body costs more than calling it furniture: the capacity to the terminal of its sign. ``w`` are the capacities of the
+    edges between nodes ``u`` and ``v``, both ways. Nodes whose terminal edge outweighs all their other edges are on its side of every minimum cut; they are
+    labelled at once, for all pages together, and their edges become terminal capacities of their neighbors, until no more are found. A maximum flow
+    decides the few that are left.
     """
-    n = cost.shape[1]
-    through = np.empty_like(cost)
-    flow = np.zeros(len(cost))
-    for i in range(n):
-        through[:, i] = flow + cost[:, i]
-        flow = np.clip(through[:, i], -edge[:, i], edge[:, i])
-    out = np.zeros(cost.shape, dtype=bool)
-    if n:
-        out[:, n - 1] = through[:, n - 1] > 0
-        for i in range(n - 2, -1, -1):
-            out[:, i] = through[:, i] + np.where(out[:, i + 1], edge[:, i], -edge[:, i]) > 0
+    n, cost = len(cost), np.array(cost, dtype=float)
+    label = np.full(n, -1, dtype=np.int8)
+    while True:
+        pull = np.bincount(u, w, n) + np.bincount(v, w, n)
+        new = (label < 0) & ((cost > pull) | (cost <= -pull))
+        if not new.any():
+            break
+        label[new] = cost[new] > 0
+        at_u, at_v = label[u] >= 0, label[v] >= 0
+        for here, there, one in ((u, v, at_u & ~at_v), (v, u, at_v & ~at_u)):
+            cost += np.bincount(there[one], np.where(label[here[one]] == 1, w[one], -w[one]), n)
+        keep = ~(at_u | at_v)
+        u, v, w = u[keep], v[keep], w[keep]
+    out = label == 1
+    left = np.nonzero(label < 0)[0]
+    if len(left):
+        place = {node: i for i, node in enumerate(left.tolist())}
+        edges = [(place[a], place[b], x) for a, b, x in zip(u.tolist(), v.tolist(), w.tolist(), strict=True)]
+        out[left[_source_side(cost[left].tolist(), edges)]] = True
+    return out
+
+
+def _source_side(cost: list[float], edges: list[tuple[int, int, float]], least: float = 1e-12) -> list[int]:
+    """The nodes on the furniture terminal's side of the minimum cut after a maximum flow in phases of shortest paths."""
+    n = len(cost)
+    s, t = n, n + 1
+    to: list[int] = []
+    cap: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def edge(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to.extend((b, a))
+        cap.extend((there, back))
+
+    for i, c in enumerate(cost):
+        edge(*((s, i) if c > 0 else (i, t)), abs(c), 0.0)
+    for a, b, w in edges:
+        edge(a, b, w, w)
+    while True:
+        depth = [-1] * (n + 2)
+        depth[s], queue = 0, [s]
+        for a in queue:
+            for e in out[a]:
+                if cap[e] > least and depth[to[e]] < 0:
+                    depth[to[e]] = depth[a] + 1
+                    queue.append(to[e])
+        if depth[t] < 0:
+            return [i for i in range(n) if depth[i] >= 0]
+        tried = [0] * (n + 2)
+        path: list[int] = []
+        a = s
+        while True:
+            if a == t:
+                flow = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= flow
+                    cap[e ^ 1] += flow
+                full = next(i for i, e in enumerate(path) if cap[e] <= least)
+                a = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while tried[a] < len(out[a]):
+                e = out[a][tried[a]]
+                if cap[e] > least and depth[to[e]] == depth[a] + 1:
+                    break
+                tried[a] += 1
+            else:
+                if not path:
+                    break
+                a = to[path.pop() ^ 1]
+                tried[a] += 1
+                continue
+            path.append(e)
+            a = to[e]
+
+
+def structure_edges(lines: list[str], numbers: list[int]) -> list[tuple[int, int, float]]:
+    """Edges (i, j, capacity) between a page's non-blank stripped lines: between neighbors, and between lines near in its structure."""
+    out: list[tuple[int, int, float]] = []
+    above: list[tuple[int, int]] = []  # headings that the line stands under: depth, place
+    kind, first = "", 0
+    for i, line in enumerate(lines):
+        k = line[0] if line[0] in "|-*•›" else line[:2] if line[0] in "#![" else ""
+        apart = not i or numbers[i] > numbers[i - 1] + 1
+        if i:
+            out.append((i - 1, i, APART if apart else ALIKE if k and k == kind else NEXT))
+        if apart or k != kind:
+            first = i
+        elif k and k[0] != "#" and i > first + 1:
+            out.append((first, i, ITEM))
+        head = _HEADING.match(line)
+        if head:
+            while above and above[-1][0] >= head.end():
+                above.pop()
+        if above and above[-1][1] < i - 1 and (apart or head):
+            out.append((above[-1][1], i, SECTION))
+        if head:
+            above.append((head.end(), i))
+        kind = k
     return out
 
 
@@ -263,60 +397,48 @@ class Labeller:
 
     def __init__(self, model: Model, known: int = 300_000):
         self.model, self.known, self.costs = model, known, {}
+        # Weights of words by what they are to the line, so that no feature's name is put together for a lookup.
+        self.word, self.first, self.last = ({x[len(p) :]: w for x, w in model.weights.items() if x.startswith(p)} for p in ("w ", "first ", "last "))
 
     def cost(self, masked: str, labels: frozenset[int] | None = None) -> float:
         c = self.costs.get(masked)
         if c is None:
-            if not _WORD.search(_LINK.sub("]", masked)):
+            bare = _LINK.sub("]", masked) if "](" in masked else masked
+            words = words_of(bare)
+            if not words:
                 c = 0.0
             else:
-                w = self.model.weights
-                z = w.get("", 0.0) + sum(w.get(x, 0.0) for x in features(masked, self.model.labels if labels is None else labels))
+                get = self.model.weights.get
+                marks = _marks(masked, bare, len(words), self.model.labels if labels is None else labels)
+                z = get("", 0.0) + sum([get(x, 0.0) for x in marks]) + sum([self.word.get(w, 0.0) for w in set(words)])
+                z += self.first.get(words[0], 0.0) + self.first.get(" ".join(words[:2]), 0.0) + self.last.get(words[-1], 0.0)
+                if marks[5:6] == ["subject"]:
+                    z += get(f"subject first {words[0]}", 0.0) + get(f"subject last {words[-1]}", 0.0) + get(f"subject words {min(len(words), 8)}", 0.0)
                 c = min(max(z, -MAX_COST), MAX_COST)
-            if len(masked) < 200:
+            # With labels of the page's own the cost is the page's own too.
+            if len(masked) < 200 and labels is None:
                 if len(self.costs) >= self.known:
                     self.costs.clear()
                 self.costs[masked] = c
         return c
 
-    def page(self, url: str | None, text: str, about: tuple | None = None) -> tuple[list[int], list[float], list[float]]:
-        """Numbers, costs and edges of the non-blank lines. ``about``: the page's site and subjects and the labels it may have, if known."""
-        raw = text.split("\n")
-        if about:
-            site, subjects, labels = about
-        else:
-            site, labels = site_of(url, text), None
-            subjects = subjects_of(url, text, site, self.model.common)
-        numbers, costs, edges, last, kind = [], [], [], 0, ""
-        for no, line in enumerate(raw, 1):
-            line = line.strip()
-            if not line:
-                continue
-            c, k = self.cost(mask(line, site, subjects), labels), line[0] if line[0] in "|-*•›" else line[:2] if line[0] in "#![" else ""
-            if numbers:
-                edges.append(APART if no > last + 1 else ALIKE if k and k == kind else NEXT)
-            numbers.append(no)
-            costs.append(c)
-            last, kind = no, k
-        return numbers, costs, [*edges, 0.0]
+    def page(self, url: str | None, text: str, about: tuple | None = None) -> tuple[list[int], list[float], list[tuple[int, int, float]]]:
+        """Numbers, costs and edges of the non-blank lines. ``about``: the words that are common on this page and the labels it may have, if known."""
+        common, labels = about or (self.model.common, None)
+        site = site_of(url, text)
+        masked = masked_lines(text, site, subjects_of(url, text, site, common))
+        numbers = [no for no, m in enumerate(masked, 1) if m]
+        costs = [self.cost(m, labels) for m in masked if m]
+        return numbers, costs, structure_edges([x for x in map(str.strip, text.split("\n")) if x], numbers)
 
     def furniture(self, urls: list[str | None], texts: list[str], about: list[tuple] | None = None) -> list[list[int]]:
-        """The numbers of each page's furniture lines."""
+        """The numbers of each page's furniture lines; the pages go through the cut together."""
         got = [self.page(u, t, a) for u, t, a in zip(urls, texts, about or [None] * len(urls), strict=True)]
-        out: list[list[int]] = [[]] * len(got)
-        # Pages of like length go through the cut together.
-        order = sorted(range(len(got)), key=lambda i: len(got[i][0]))
-        for a in range(0, len(order), 256):
-            part = order[a : a + 256]
-            width = len(got[part[-1]][0])
-            cost, edge = np.zeros((len(part), width)), np.zeros((len(part), width))
-            for r, i in enumerate(part):
-                cost[r, : len(got[i][1])] = got[i][1]
-                edge[r, : len(got[i][2]) if got[i][0] else 0] = got[i][2] if got[i][0] else []
-            cut = min_cut(cost, edge)
-            for r, i in enumerate(part):
-                out[i] = [no for no, f in zip(got[i][0], cut[r].tolist(), strict=False) if f]
-        return out
+        starts = np.concatenate([[0], np.cumsum([len(g[0]) for g in got], dtype=np.int64)])
+        edges = [(a + s, b + s, w) for s, g in zip(starts.tolist(), got, strict=False) for a, b, w in g[2]]
+        u, v, w = (np.array(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        cut = min_cut(np.array([c for g in got for c in g[1]]), u, v, w)
+        return [[no for no, f in zip(g[0], cut[s:e].tolist(), strict=True) if f] for g, s, e in zip(got, starts, starts[1:], strict=False)]
 
 
 class Rare:
@@ -329,6 +451,22 @@ class Rare:
         return word not in self.words
 
 
+class Holders(dict):
+    """For each thing the distinct files that hold it, up to ``most``: a summary that is merged by uniting, and exact up to ``most``."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def add(self, things: Iterable, file: int) -> None:
+        for x in things:
+            held = self.get(x)
+            if held is None:
+                self[x] = (file,)
+            elif len(held) < self.most and file not in held:
+                self[x] = (*held, file)
+
+
 class Inspector:
     """What is counted of a page's lines; keeps it for masked lines, up to a bound, since they repeat."""
 
@@ -343,50 +481,49 @@ class Inspector:
         if _WORD.search(_LINK.sub("]", masked)):
             shape = 0 if _CLOSED.search(masked) else _hash(_shape(masked, common))
             got = _hash(masked), shape, _label(masked) if _may_be_label(masked) else 0, _parts(masked)
-        if len(masked) < 200:
+        # What is kept of a line depends on the common words, which with ``Rare`` are another set for each page.
+        if len(masked) < 200 and not isinstance(common, Rare):
             if len(self.lines) >= self.known:
                 self.lines.clear()
             self.lines[masked] = got
         return got
 
-    def page(self, url: str | None, text: str, common: frozenset[str] | Rare) -> tuple[str, tuple[str, ...], list[tuple], list[int]]:
-        """Site, subjects, distinct (line, shape, label) and distinct labels of trails."""
+    def page(self, url: str | None, text: str, common: frozenset[str] | Rare) -> tuple[set[tuple[int, int, int]], set[int]]:
+        """Distinct (line, shape, label) and distinct labels of trails."""
         site = site_of(url, text)
-        subjects = subjects_of(url, text, site, common)
         found, parts = set(), set()
-        for line in map(str.strip, text.split("\n")):
-            if line and (got := self.line(mask(line, site, subjects), common)):
+        for m in set(masked_lines(text, site, subjects_of(url, text, site, common))):
+            if m and (got := self.line(m, common)):
                 found.add(got[:3])
                 parts.update(got[3])
-        return site, subjects, list(found), list(parts - {0})
+        return found, parts - {0}
+
+
+def _batch(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, names.values(), strict=True)], names=list(names))
+
+
+_LONGS = pa.list_(pa.int64())
 
 
 def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        each = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in set(_WORD.findall((t or "").lower()))]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in each], pa.int64()), pa.array([w for _, w in each], pa.string())], names=["row", "word"])
+        rows = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in word_set((t or "").lower())]
+        yield _batch({"row": pa.int64(), "word": pa.string()}, rows)
 
 
 def _word_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``word``, ``n``: files with a word, to be added up. All rows of a file (``key``) must come to one task, one after the other."""
-    count: Counter[str] = Counter()
-    last, words = None, set()
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
-        count.clear()
-        return out
-
+    """``word``, ``files``: up to ``MIN_FILES`` of the files that hold a word, of each task's pages (``key``, ``text``)."""
+    held = Holders(MIN_FILES)
+    names = {"word": pa.string(), "files": _LONGS}
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if key != last:
-                count.update(words)
-                last, words = key, set()
-                if len(count) >= KNOWN:
-                    yield flush()
-            words.update(_WORD.findall(text.lower()))
-    count.update(words)
-    yield flush()
+            held.add(word_set(text.lower()), key)
+            if len(held) >= KNOWN:
+                yield _batch(names, list(held.items()))
+                held.clear()
+    yield _batch(names, list(held.items()))
 
 
 def _attach(rows: DataFrame, pairs: DataFrame, known: DataFrame, name: str, how: str) -> DataFrame:
@@ -397,101 +534,160 @@ def _attach(rows: DataFrame, pairs: DataFrame, known: DataFrame, name: str, how:
 
 
 def _common_words(rows: DataFrame) -> DataFrame:
-    """``word``: those that stand in ``MIN_FILES`` files of all pages."""
-    files = rows.where("key is not null").select("key", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_word_files, "word string, n long")
-    return stage(files.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_FILES).select("word"), "common-words")
+    """``word``: those that stand in ``MIN_FILES`` files of all pages. No text is shuffled, only each task's words with at most ``MIN_FILES`` files."""
+    files = rows.where("key is not null").select("key", "text").mapInArrow(_word_files, "word string, files array<long>")
+    n = files.select("word", F.explode("files").alias("file")).distinct().groupBy("word").agg(F.count("*").alias("n"))
+    return stage(n.where(F.col("n") >= MIN_FILES).select("word"), "common-words")
+
+
+def _commons(b: pa.RecordBatch, common: frozenset[str]) -> list:
+    """The common words of each row of a batch: ``common``, or what its column ``rare`` leaves."""
+    at = b.schema.get_field_index("rare")
+    return [common] * b.num_rows if at < 0 else [Rare(x or []) for x in b.column(at).to_pylist()]
+
+
+def _line_files(rows: DataFrame, common: Broadcast) -> DataFrame:
+    """What all pages hold, a row per task and thing, staged: ``kind`` (line, shape, part or pages), its hash ``h``, for lines their ``shape`` and ``label``, and ``files``.
+
+    Of the files that hold a line there are up to ``MIN_FILES``, of those with a shape up to ``MIN_SHAPE_FILES``; ``pages`` has the number of pages and their characters.
+    """
+    longs = {"h": pa.int64(), "shape": pa.int64(), "label": pa.int64(), "files": _LONGS}
+    names = {"kind": pa.string(), **longs}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inspector, lines, shapes, parts, pages, chars = Inspector(), Holders(MIN_FILES), Holders(MIN_SHAPE_FILES), set(), 0, 0
+
+        def flush() -> pa.RecordBatch:
+            out = [("line", *x, f) for x, f in lines.items()] + [("shape", x, 0, 0, f) for x, f in shapes.items()] + [("part", x, 0, 0, ()) for x in parts]
+            lines.clear()
+            shapes.clear()
+            parts.clear()
+            return _batch(names, out)
+
+        for b in batches:
+            for key, url, text, c in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("key", "url", "text")), _commons(b, common.value), strict=True):
+                found, trail = inspector.page(url, text or "", c)
+                parts |= trail
+                if key is not None:
+                    lines.add(found, key)
+                    shapes.add({s for _, s, _ in found if s}, key)
+                    pages, chars = pages + 1, chars + len(text)
+                if len(lines) + len(shapes) + len(parts) >= KNOWN:
+                    yield flush()
+        yield flush()
+        yield _batch(names, [("pages", pages, chars, 0, ())])
+
+    rows = rows.select("key", "url", "text", *["rare"] * ("rare" in rows.columns)).where("text is not null")
+    return stage(rows.mapInArrow(run, "kind string, h long, shape long, label long, files array<long>"), "line-files")
 
 
-def _inspected(rows: DataFrame, common: frozenset[str]) -> DataFrame:
-    """Each row with its site, its subjects, its lines as hashes and the labels of its trails; staged. Words are common as column ``rare`` says, if it is there."""
-    joined = "rare" in rows.columns
+def _sample_lines(rows: DataFrame, common: Broadcast) -> DataFrame:
+    """``masked``, ``h``, ``shape``, ``parts``, ``n``: the masked lines of some pages and how often they have them."""
+    names = {"masked": pa.string(), "h": pa.int64(), "shape": pa.int64(), "parts": _LONGS, "n": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inspector = Inspector()
         for b in batches:
-            rare = [Rare(x or []) for x in b.column(5).to_pylist()] if joined else [common] * b.num_rows
-            got = [inspector.page(u, t or "", c) for u, t, c in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), rare, strict=True)]
-            longs = pa.list_(pa.int64())
-            made = [
-                pa.array([g[0] for g in got], pa.string()),
-                pa.array([g[1] for g in got], pa.list_(pa.string())),
-                *(pa.array([[x[k] for x in g[2]] for g in got], longs) for k in range(3)),
-                pa.array([g[3] for g in got], longs),
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], b.column(4), *made], names=["row", "key", "page_id", "text", "site", "subjects", "line", "shape", "label", "parts"])
-
-    out = rows.select("row", "key", "page_id", "url", "text", *["rare"] * joined).mapInArrow(
-        run, "row long, key long, page_id long, text string, site string, subjects array<string>, line array<long>, shape array<long>, label array<long>, parts array<long>"
-    )
-    return stage(out, "inspected-pages")
-
-
-def prepare(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, known: int = KNOWN) -> tuple[DataFrame, Model]:
-    """The pages with their sites and subjects (``site``, ``subjects``), and a model.
+            count: dict[tuple, int] = Counter()
+            for url, text, c in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("url", "text")), _commons(b, common.value), strict=True):
+                site = site_of(url, text)
+                for m in filter(None, masked_lines(text, site, subjects_of(url, text, site, c))):
+                    if got := inspector.line(m, c):
+                        count[m, got[0], got[1], tuple(got[3])] += 1
+            yield _batch(names, [(*x, n) for x, n in count.items()])
+
+    rows = rows.select("url", "text", *["rare"] * ("rare" in rows.columns))
+    each = rows.mapInArrow(run, "masked string, h long, shape long, parts array<long>, n long")
+    return stage(each.groupBy("masked", "h", "shape", "parts").agg(F.sum("n").alias("n")), "sample")
+
+
+@dataclass
+class Prepared:
+    """Pages (``page_id``, ``url``, ``text``; ``rare`` and ``labels`` where they are joined) and what labels them."""
+
+    pages: DataFrame
+    model: Model
+    shared: Broadcast
+
+
+def prepare(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, known: int = KNOWN) -> Prepared:
+    """The model of the pages.
 
     The files that words, lines and shapes of lines stand in are counted over all pages. The weights are fitted on the lines of about
-    ``sample_pages`` captures, chosen by a hash of their ids, twice as many at most, with the labels that those counts give them. Of more than ``known``
-    common words or labels of trails each page gets its own by a join, in column ``labels``; the model then has none.
+    ``sample_pages`` captures (of about ``SAMPLE_CHARS`` characters together, none longer than ``PAGE_CHARS``), chosen by a hash of their ids, twice as many at most, with the labels that those counts give
+    them. Of more than ``known`` common words or labels of trails each page gets its own by a join, in columns ``rare`` and ``labels``; the model then has none.
     """
+    sc = pages.sparkSession.sparkContext
     file = F.when(F.col("file") != "", F.xxhash64("file")).otherwise(F.xxhash64("page_id", F.lit("")))
-    rows = pages.select("page_id", "file", "url", "text").withColumn("key", F.when(F.col("page_id").isNotNull() & F.col("text").isNotNull(), file))
+    rows = pages.select("page_id", "file", "url", "text").withColumn("key", F.when(F.col("page_id").isNotNull() & F.col("text").isNotNull(), file)).drop("file")
     words = _common_words(rows)
     if within(words, known):
         common = frozenset(r.word for r in words.collect())
-        done = _inspected(rows.withColumn("row", F.monotonically_increasing_id()), common)
     else:
         common = frozenset()
         rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
-        pairs = rows.select("row", "text").mapInArrow(_page_words, "row long, word string")
-        done = _inspected(_attach(rows, pairs, words, "rare", "left_anti"), common)
-
-    counted = done.where("key is not null")
-    each = counted.select("key", F.inline(F.arrays_zip("line", "shape", "label")))
-    lines = stage(each.distinct().groupBy("line", "shape", "label").agg(F.count("*").alias("files")), "line-files")
-    shapes = each.where("shape != 0").select("shape", "key").distinct().groupBy("shape").agg(F.count("*").alias("shape_files"))
-    in_trails = done.select(F.explode("parts").alias("label")).distinct()
+        rows = stage(_attach(rows, rows.select("row", "text").mapInArrow(_page_words, "row long, word string"), words, "rare", "left_anti"), "pages-words")
+    shared = sc.broadcast(common)
+
+    held = _line_files(rows, shared)
+    each = held.select("kind", "h", "shape", "label", F.explode("files").alias("file"))
+    lines = stage(each.where("kind = 'line'").drop("kind").distinct().groupBy("h", "shape", "label").agg(F.count("*").alias("files")), "lines")
+    shapes = each.where("kind = 'shape'").select(F.col("h").alias("shape"), "file").distinct().groupBy("shape").agg(F.count("*").alias("shape_files"))
+    in_trails = held.where("kind = 'part'").select(F.col("h").alias("label")).distinct()
     labels = stage(lines.where((F.col("files") >= MIN_FILES) & (F.col("label") != 0)).select("label").distinct().join(in_trails, "label", "left_semi"), "labels")
     if everywhere := within(labels, known):
         fixed = frozenset(r.label for r in labels.collect())
     else:
         fixed = frozenset()
-        done = _attach(done, done.select("row", F.explode("parts").alias("label")), labels, "labels", "left_semi")
-
-    total = max(counted.count(), 1)
-    share = min(1.0, sample_pages / total)
-    picked = counted.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * sample_pages)
-    picked = stage(picked.select("text", "site", "subjects", "line", "shape", "parts"), "sample")
-    mine = picked.select(F.inline(F.arrays_zip("line", "shape"))).distinct()
-    mine = mine.join(lines.select("line", "files"), "line").join(shapes, "shape", "left").select("line", "files", F.coalesce("shape_files", F.lit(0)).alias("shape_files"))
-    files = {r.line: (r.files, r.shape_files) for r in mine.collect()}
+        if "row" not in rows.columns:
+            rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
+        rows = stage(_attach(rows, _row_parts(rows, shared), labels, "labels", "left_semi"), "pages-labels")
+
+    total, chars = held.where("kind = 'pages'").agg(F.sum("h"), F.sum("shape")).first()
+    share = min(1.0, sample_pages / max(total or 0, 1), SAMPLE_CHARS / max(chars or 0, 1))
+    few = F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+    picked = _sample_lines(rows.where(F.col("key").isNotNull() & few & (F.length("text") <= PAGE_CHARS)).limit(2 * sample_pages).repartition(sc.defaultParallelism), shared)
+    mine = picked.join(lines.select("h", "files"), "h").join(shapes, "shape", "left").select("masked", "n", "files", F.coalesce("shape_files", F.lit(0)).alias("shape_files"))
+    counts = {r.masked: (r.n, r.files, r.shape_files) for r in mine.collect()}
     if not everywhere:
         fitting = frozenset(r.label for r in labels.join(picked.select(F.explode("parts").alias("label")).distinct(), "label", "left_semi").collect())
-    count: Counter[str] = Counter()
-    for r in picked.select("text", "site", "subjects").toLocalIterator():
-        count.update(mask(x, r.site, tuple(r.subjects)) for x in map(str.strip, r.text.split("\n")) if x)
-    model = fit_lines({m: (n, *files[h]) for m, n in count.items() if (h := _hash(m)) in files}, common, fixed if everywhere else fitting)
-    return done, Model(model.weights, common, fixed)
+    model = Model(fit_lines(counts, common, fixed if everywhere else fitting).weights, common, fixed)
+    return Prepared(rows, model, sc.broadcast(model))
+
+
+def _row_parts(rows: DataFrame, common: Broadcast) -> DataFrame:
+    """``row``, ``label``: the labels of each row's trails."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inspector = Inspector()
+        for b in batches:
+            got = []
+            for row, url, text, c in zip(*(b.column(b.schema.get_field_index(x)).to_pylist() for x in ("row", "url", "text")), _commons(b, common.value), strict=True):
+                got += [(row, p) for p in inspector.page(url, text or "", c)[1]]
+            yield _batch({"row": pa.int64(), "label": pa.int64()}, got)
+
+    return rows.select("row", "url", "text", *["rare"] * ("rare" in rows.columns)).mapInArrow(run, "row long, label long")
 
 
 def fit_on(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Model:
     """The model of ``prepare``."""
-    return prepare(pages, sample_pages)[1]
+    return prepare(pages, sample_pages).model
 
 
-def _labelled(pages: DataFrame, model: Model | None, known: int = KNOWN) -> tuple[DataFrame, Model]:
-    """``page_id``, ``url``, ``text`` and, unless a model is given, what is known ``about`` each page."""
+def _labelled(pages: DataFrame, model: Model | None, known: int = KNOWN) -> tuple[DataFrame, Broadcast]:
+    """The rows to label and the model, broadcast."""
     if model:
-        return pages.select("page_id", "url", "text"), model
-    done, model = prepare(pages, known=known)
-    labels = F.col("labels") if "labels" in done.columns else F.lit(None).cast("array<bigint>")
-    return done.select("page_id", F.lit(None).cast("string").alias("url"), "text", "site", "subjects", labels.alias("labels"), F.lit("labels" in done.columns).alias("joined")), model
+        return pages.select("page_id", "url", "text"), pages.sparkSession.sparkContext.broadcast(model)
+    done = prepare(pages, known=known)
+    return done.pages.select("page_id", "url", "text", *[c for c in ("rare", "labels") if c in done.pages.columns]), done.shared
 
 
-def _about(b: pa.RecordBatch) -> list[tuple] | None:
+def _about(b: pa.RecordBatch, model: Model) -> list[tuple] | None:
     if b.num_columns == 3:
         return None
-    site, subjects, labels, joined = (b.column(k).to_pylist() for k in range(3, 7))
-    return [(s, tuple(x), frozenset(y or []) if j else None) for s, x, y, j in zip(site, subjects, labels, joined, strict=True)]
+    at = b.schema.get_field_index("labels")
+    labels = [None] * b.num_rows if at < 0 else [frozenset(x or []) for x in b.column(at).to_pylist()]
+    return list(zip(_commons(b, model.common), labels, strict=True))
 
 
 def furniture_lines(pages: DataFrame, model: Model | None = None, known: int = KNOWN) -> DataFrame:
@@ -499,12 +695,12 @@ def furniture_lines(pages: DataFrame, model: Model | None = None, known: int = K
 
     Lines are what stands between line feeds, numbered from 1. Blank texts have no lines. Input: ``page_id``, ``file``, ``url``, ``text``.
     """
-    rows, model = _labelled(pages, model, known)
+    rows, shared = _labelled(pages, model, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model)
+        labeller = Labeller(shared.value)
         for b in batches:
-            lines = labeller.furniture(b.column(1).to_pylist(), b.column(2).to_pylist(), _about(b))
+            lines = labeller.furniture(b.column(1).to_pylist(), b.column(2).to_pylist(), _about(b, shared.value))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.list_(pa.int32()))], names=["page_id", "lines"])
 
     return rows.where("page_id is not null and text is not null").mapInArrow(run, "page_id long, lines array<int>")
@@ -515,13 +711,13 @@ def main_bodies(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null texts stay null; a page of furniture alone has an empty main text.
     """
-    rows, model = _labelled(pages, model)
+    rows, shared = _labelled(pages, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model)
+        labeller = Labeller(shared.value)
         for b in batches:
             texts = b.column(2).to_pylist()
-            drop = labeller.furniture(b.column(1).to_pylist(), [t or "" for t in texts], _about(b))
+            drop = labeller.furniture(b.column(1).to_pylist(), [t or "" for t in texts], _about(b, shared.value))
             out = []
             for t, d in zip(texts, drop, strict=True):
                 gone = set(d)

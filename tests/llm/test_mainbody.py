@@ -3,22 +3,32 @@ import random
 
 import numpy as np
 
-from lectern.llm.mainbody import Labeller, Model, features, fit, fit_on, furniture_lines, main_bodies, min_cut, not_main_body
+from lectern.llm.mainbody import ALIKE, APART, ITEM, SECTION, Labeller, Model, features, fit, fit_on, furniture_lines, main_bodies, min_cut, not_main_body, prepare, structure_edges
 
 PAGE = "page_id long, file string, url string, text string, lines string, main_text string"
 
 
 def test_min_cut_against_brute_force():
     rng = np.random.default_rng(0)
-    for _ in range(200):
-        n = rng.integers(1, 8)
-        cost, edge = rng.normal(0, 2, (1, n)), rng.random((1, n)) * 2
-        got = min_cut(cost, edge)[0]
+    for _ in range(400):
+        n = int(rng.integers(1, 9))
+        cost = rng.normal(0, rng.choice([0.3, 1, 3]), n).round(2)
+        pairs = [(a, b) for a in range(n) for b in range(a) if rng.random() < 0.5]
+        edges = [(a, b, round(float(rng.random()), 2)) for a, b in pairs]
+        u, v, w = (np.array([e[k] for e in edges], dtype=float if k == 2 else int) for k in range(3))
+        got = min_cut(cost, u, v, w)
 
-        def value(x, cost=cost, edge=edge):
-            return sum(max(c, 0) if not f else max(-c, 0) for c, f in zip(cost[0], x, strict=True)) + sum(w for w, a, b in zip(edge[0], x, x[1:], strict=False) if a != b)
+        def value(x, cost=cost, edges=edges):
+            return sum(max(c, 0) if not f else max(-c, 0) for c, f in zip(cost, x, strict=True)) + sum(w for a, b, w in edges if x[a] != x[b])
 
-        assert abs(value(got) - min(map(value, itertools.product([False, True], repeat=int(n))))) < 1e-9
+        assert abs(value(got) - min(map(value, itertools.product([False, True], repeat=n)))) < 1e-9
+
+
+def test_structure_edges():
+    lines = ["# Title", "Words.", "## Part", "- a", "- b", "- c", "End."]
+    got = {(a, b): w for a, b, w in structure_edges(lines, [1, 3, 5, 6, 7, 8, 10])}
+    assert set(got) == {*zip(range(6), range(1, 7), strict=True), (3, 5), (0, 2), (2, 6)}
+    assert got[3, 4] == ALIKE and got[5, 6] == APART and got[3, 5] == ITEM and got[0, 2] == got[2, 6] == SECTION
 
 
 def site_pages(n=60):
@@ -82,3 +92,19 @@ def test_long_notice_on_every_page_is_furniture(spark):
 def test_features_have_the_words_of_the_whole_line():
     line = " ".join(f"{a}{b}" for a in "abcdefgh" for b in "klmnopqr") + " 一二三"
     assert {f for f in features(line, frozenset()) if f.startswith("w ")} == {f"w {w}" for w in [*line.split()[:-1], *"一二三"]}
+
+
+def test_a_hundredth_of_many_sites(spark):
+    """What labels the sample is counted over all pages, so a sample with under one page a site does."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for i in range(1500):
+        subject = "".join(rng.choice(a) for a in ["bdfg", "aeio"] * 4).capitalize()
+        site = f"campus{chr(97 + i % 25)}{chr(97 + i % 24)}"
+        first = f"Under the {subject} plan, the {rng.choice(['desk', 'hall', 'room'])} opens at {i}. Bring {rng.randint(1, 99)} forms and wait for the letter."
+        text = "\n".join(["Open search", "- [Fees](https://x/0)", "", f"## About the {subject} track", "", first, "", f"- {i} credits in {subject} electives", "", "In this section", f"Hall of {site}, street {i % 25}", "", f"© 2031 {site.capitalize()} College. All rights reserved."])
+        rows.append((i, f"f{i}", f"https://{site}.example/topic/{subject.lower()}", text, "", ""))
+        want |= {(i, no): True for no in (1, 2, 10, 11, 13)}
+    df = spark.createDataFrame(rows, PAGE)
+    got = {(r.page_id, r.line_no) for r in not_main_body(df, prepare(df, len(rows) // 100).model).collect()}
+    assert len(got & set(want)) >= 0.99 * len(want) and len(got & set(want)) >= 0.99 * len(got)
