@@ -8,15 +8,16 @@ its first, the blocks of a section to its heading, a heading to the heading abov
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
 from itertools import chain
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,22 +42,30 @@ ITEM, SECTION = 0.3, 0.15
 SUBJECT_LETTERS, SLUG_LETTERS = 5, 4
 
 _WORD = re.compile(r"[^\W\d_⺀-鿿가-\ud7af]+|[⺀-鿿가-\ud7af]")
-_NUMBER = re.compile(r"\d+")
+#: Digits of other scripts, which Unicode has in runs of ten.
+_OTHER_DIGITS = re.compile("[" + "".join(f"{chr(i)}-{chr(i + 9)}" for i in range(0x80, 0x110000) if unicodedata.decimal(chr(i), None) == 0) + "]")
+#: Where those digits are, without Latin, Greek and Cyrillic letters and general punctuation: a class of few ranges is searched for first, being quick.
+_OTHER_SCRIPTS = re.compile("[\u0660-\u1dff\u2c00-\U0010ffff]")
 _LINK = re.compile(r"\]\([^)]*\)?")
 _END = re.compile(r"[.!?]+[\"”’»)]*(?=\s|$)|[。！？]")
-_CLOSED = re.compile(r"[.!?。！？][\"'”’»)\]）」』]*$")
+_ENDS, _CLOSERS = tuple(".!?。！？"), "\"'”’»)]）」』"
 _KIND = re.compile(r"(!\[|#+|\d+[.)]\s|[-*+•›»«|>]|\[)?")
-_CRUMB = re.compile(r"\s[>/»›→|·]\s")
+_CRUMB_MARKS = ">/»›→|·"
+_CRUMB = re.compile(rf"\s[{_CRUMB_MARKS}]\s")
 _HOST = re.compile(r"https?://([^/\s)\]]+)")
 _INDEX = re.compile(r"^(index|default|home)?(\.\w+)?$", re.I)
 _HEADING = re.compile(r"#{1,6}(?=[ \t])")
 
 
-class _Words(dict):
-    """The words of what stands between spaces, kept up to a bound: they repeat, and a lookup costs less than a search."""
+class _Known(dict):
+    """What ``found`` gives for what stands between spaces, kept up to a bound: it repeats, and a lookup costs less than a search."""
 
-    def __missing__(self, token: str) -> tuple[str, ...]:
-        words = tuple(_WORD.findall(token))
+    def __init__(self, found: Callable[[str], object]):
+        super().__init__()
+        self.found = found
+
+    def __missing__(self, token: str):
+        words = self.found(token)
         if len(token) <= 40:
             if len(self) >= 200_000:
                 self.clear()
@@ -64,7 +73,9 @@ class _Words(dict):
         return words
 
 
-_known_words = _Words()
+_known_words = _Known(lambda token: tuple(_WORD.findall(token)))
+#: Ends of sentences stand where a token ends, or are Chinese marks, so those of a line's tokens add up to the line's.
+_known_ends = _Known(lambda token: len(_END.findall(token)))
 
 
 def words_of(text: str) -> list[str]:
@@ -87,7 +98,7 @@ class Model:
 
 
 def _hash(s: str) -> int:
-    return int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def site_of(url: str | None, text: str) -> str:
@@ -131,9 +142,46 @@ def subjects_of(url: str | None, text: str, site: str, common: frozenset[str]) -
     return tuple(w for w in (found, slug) if w)
 
 
+def _closed(line: str) -> bool:
+    """Whether a stripped line ends like a sentence."""
+    return line.rstrip(_CLOSERS).endswith(_ENDS)
+
+
+def _n_ends(line: str) -> int:
+    """How many sentences end in a line; from 3 on it may be less than there are."""
+    if not any(map(line.__contains__, _ENDS)):
+        return 0
+    n = line.count(". ")
+    return n if n >= 3 else sum(map(_known_ends.__getitem__, line.split()))
+
+
+def _has_crumbs(line: str) -> bool:
+    return any(map(line.__contains__, _CRUMB_MARKS)) and bool(_CRUMB.search(line))
+
+
+def _bare(line: str) -> str:
+    """A line without the addresses of its links."""
+    return _LINK.sub("]", line) if "](" in line else line
+
+
+def one_digit(text: str) -> str:
+    """Runs of digits as one 0. Replacing one character by another is much faster than a search for runs."""
+    for d in "123456789":
+        text = text.replace(d, "0")
+    if not text.isascii():
+        try:  # Latin letters and common marks, which are told fastest, have no other digits
+            text.encode("cp1252")
+        except UnicodeEncodeError:
+            if _OTHER_SCRIPTS.search(text):
+                text = _OTHER_DIGITS.sub("0", text)
+    while "00" in text:
+        text = text.replace("00", "0")
+    return text
+
+
 def mask(line: str, site: str, subjects: tuple[str, ...]) -> str:
     """A line in lower case with digits as 0, the site's name as ¤ and the page's subject as §."""
-    m = _NUMBER.sub("0", line.lower())
+    m = one_digit(line.lower())
     for s in subjects:
         m = m.replace(s, "§")
     return m.replace(site, "¤") if site else m
@@ -146,13 +194,13 @@ def masked_lines(text: str, site: str, subjects: tuple[str, ...]) -> list[str]:
 
 def _label(s: str) -> int:
     """Hash of the words of a label; 0 if it has none."""
-    words = words_of(_LINK.sub("]", s))
+    words = words_of(_bare(s))
     return _hash(" ".join(words)) if words else 0
 
 
 def _parts(masked: str) -> list[int]:
     """The labels between the marks of a trail; none if a line isn't one."""
-    if masked[:1] == "|" or not _CRUMB.search(masked):
+    if masked[:1] == "|" or not _has_crumbs(masked):
         return []
     return [_label(p) for p in _CRUMB.split(masked)]
 
@@ -163,20 +211,23 @@ def is_crumb(masked: str, labels: frozenset[int]) -> bool:
 
 
 def _may_be_label(masked: str) -> bool:
-    return "§" not in masked and not _CRUMB.search(masked)
+    return "§" not in masked and not _closed(masked) and not _has_crumbs(masked)
 
 
-def _shape(masked: str, common: frozenset[str]) -> str:
-    return _WORD.sub(lambda w: w.group(0) if w.group(0) in common else "*", _LINK.sub("]", masked))
+def _shape(masked: str, common: frozenset[str] | Rare) -> str:
+    """A line with single spaces and with * for words that aren't common."""
+    masked = " ".join(_bare(masked).split())
+    return _WORD.sub(lambda w: w.group(0) if w.group(0) in common else "*", masked)
 
 
-def _marks(masked: str, bare: str, n_words: int, labels: frozenset[int]) -> list[str]:
-    """What the classifier sees of a masked line but for its words."""
+def _kind_of(masked: str) -> str:
     kind = (_KIND.match(masked).group(0) or "").strip()
-    kind = "0" if kind[:1].isdigit() else kind[:2]
-    ends = len(_END.findall(masked))
-    crumb = is_crumb(masked, labels)
-    out = [f"kind {kind}", f"ends {min(ends, 3)}", "closed" if _CLOSED.search(masked) else "open", f"length {min(len(masked) // 20, 12)}", f"kind {kind} words {min(n_words, 8)}"]
+    return "0" if kind[:1].isdigit() else kind[:2]
+
+
+def _marks(masked: str, bare: str, crumb: bool) -> list[str]:
+    """What a line has of subjects, sites, links and trails."""
+    out = []
     if "§" in bare:
         out.append("subject in crumb" if crumb else "subject")
     elif "§" in masked:
@@ -194,15 +245,16 @@ def _marks(masked: str, bare: str, n_words: int, labels: frozenset[int]) -> list
 
 def features(masked: str, labels: frozenset[int]) -> list[str]:
     """What the classifier sees of a masked line."""
-    bare = _LINK.sub("]", masked)
+    bare = _bare(masked)
     words = words_of(bare)
-    out = _marks(masked, bare, len(words), labels)
+    kind, crumb, n = _kind_of(masked), is_crumb(masked, labels), min(len(words), 8)
+    out = [f"kind {kind}", f"kind {kind} words {n}", f"ends {min(_n_ends(masked), 3)}", f"length {min(len(masked) // 20, 12)}", "closed" if _closed(masked) else "open"]
+    out += _marks(masked, bare, crumb)
     if words:
-        subject = out[5:6] == ["subject"]
         out += [f"first {words[0]}", f"last {words[-1]}", f"first {' '.join(words[:2])}"]
-        out += [f"w {w}" for w in set(words)]
-        if subject:
-            out += [f"subject first {words[0]}", f"subject last {words[-1]}", f"subject words {min(len(words), 8)}"]
+        out += [f"w {w}" for w in words]
+        if "§" in bare and not crumb:
+            out += [f"subject first {words[0]}", f"subject last {words[-1]}", f"subject words {n}"]
     return out
 
 
@@ -241,16 +293,16 @@ def fit_lines(lines: dict[str, tuple[int, int, int]], common: frozenset[str], la
     ys: list[float] = []
     ns: list[float] = []
     for m, (n, files, shape_files) in lines.items():
-        if not _WORD.search(_LINK.sub("]", m)):
+        if not _WORD.search(_bare(m)):
             continue
         crumb = is_crumb(m, labels)
         if crumb:
             y = 1.0
         elif "§" in m:
             y = 0.0
-        elif files >= MIN_FILES or shape_files >= MIN_SHAPE_FILES and not _CLOSED.search(m):
+        elif files >= MIN_FILES or shape_files >= MIN_SHAPE_FILES and not _closed(m):
             y = 1.0
-        elif files == 1 and len(_END.findall(m)) >= 2 and len(m) >= 80 and _CLOSED.search(m):
+        elif files == 1 and _n_ends(m) >= 2 and len(m) >= 80 and _closed(m):
             y = 0.0
         else:
             continue
@@ -366,30 +418,38 @@ def _source_side(cost: list[float], edges: list[tuple[int, int, float]], least:
             a = to[e]
 
 
-def structure_edges(lines: list[str], numbers: list[int]) -> list[tuple[int, int, float]]:
-    """Edges (i, j, capacity) between a page's non-blank stripped lines: between neighbors, and between lines near in its structure."""
-    out: list[tuple[int, int, float]] = []
-    above: list[tuple[int, int]] = []  # headings that the line stands under: depth, place
-    kind, first = "", 0
-    for i, line in enumerate(lines):
-        k = line[0] if line[0] in "|-*•›" else line[:2] if line[0] in "#![" else ""
-        apart = not i or numbers[i] > numbers[i - 1] + 1
-        if i:
-            out.append((i - 1, i, APART if apart else ALIKE if k and k == kind else NEXT))
-        if apart or k != kind:
-            first = i
-        elif k and k[0] != "#" and i > first + 1:
-            out.append((first, i, ITEM))
-        head = _HEADING.match(line)
-        if head:
-            while above and above[-1][0] >= head.end():
-                above.pop()
-        if above and above[-1][1] < i - 1 and (apart or head):
-            out.append((above[-1][1], i, SECTION))
-        if head:
-            above.append((head.end(), i))
-        kind = k
-    return out
+class Edges:
+    """Edges between the lines of many pages: ends ``u`` and ``v``, capacity ``w``."""
+
+    def __init__(self) -> None:
+        self.u: list[int] = []
+        self.v: list[int] = []
+        self.w: list[float] = []
+
+    def page(self, lines: list[str], numbers: list[int], base: int = 0) -> None:
+        """Adds those of a page's non-blank stripped lines, numbered from ``base``: between neighbors, and between lines near in its structure."""
+        above: list[tuple[int, int]] = []  # headings that the line stands under: depth, place
+        u, v, w = self.u.append, self.v.append, self.w.append
+        kind, first, last = "", base, -2
+        for i, (line, no) in enumerate(zip(lines, numbers, strict=True), base):
+            c = line[0]
+            k = c if c in "|-*•›" else line[:2] if c in "#![" else ""
+            apart = no > last + 1
+            if i > base:
+                u(i - 1), v(i), w(APART if apart else ALIKE if k and k == kind else NEXT)
+            if apart or k != kind:
+                first = i
+            elif k and c != "#" and i > first + 1:
+                u(first), v(i), w(ITEM)
+            head = _HEADING.match(line) if c == "#" else None
+            if head:
+                while above and above[-1][0] >= head.end():
+                    above.pop()
+            if above and above[-1][1] < i - 1 and (apart or head):
+                u(above[-1][1]), v(i), w(SECTION)
+            if head:
+                above.append((head.end(), i))
+            kind, last = k, no
 
 
 class Labeller:
@@ -397,48 +457,73 @@ class Labeller:
 
     def __init__(self, model: Model, known: int = 300_000):
         self.model, self.known, self.costs = model, known, {}
-        # Weights of words by what they are to the line, so that no feature's name is put together for a lookup.
+        # Weights by what they are of, so that no feature's name is put together for a lookup.
+        get = model.weights.get
         self.word, self.first, self.last = ({x[len(p) :]: w for x, w in model.weights.items() if x.startswith(p)} for p in ("w ", "first ", "last "))
+        self.ends = [get(f"ends {i}", 0.0) for i in range(4)]
+        self.length = [get(f"length {i}", 0.0) for i in range(13)]
+        self.kinds: dict[str, list[float]] = {}
+        self.tokens = _Known(lambda token: sum(self.word.get(w, 0.0) for w in _known_words[token]))
+
+    def _kind(self, masked: str) -> list[float]:
+        """Weights of a line's kind together with 0 to 8 words."""
+        kind = _kind_of(masked)
+        got = self.kinds.get(kind)
+        if got is None:
+            get = self.model.weights.get
+            got = self.kinds[kind] = [get(f"kind {kind}", 0.0) + get(f"kind {kind} words {n}", 0.0) for n in range(9)]
+        return got
 
     def cost(self, masked: str, labels: frozenset[int] | None = None) -> float:
+        """The sum of the weights of a line's ``features``, within ``MAX_COST``; 0 for a line without words."""
         c = self.costs.get(masked)
-        if c is None:
-            bare = _LINK.sub("]", masked) if "](" in masked else masked
-            words = words_of(bare)
-            if not words:
-                c = 0.0
-            else:
-                get = self.model.weights.get
-                marks = _marks(masked, bare, len(words), self.model.labels if labels is None else labels)
-                z = get("", 0.0) + sum([get(x, 0.0) for x in marks]) + sum([self.word.get(w, 0.0) for w in set(words)])
-                z += self.first.get(words[0], 0.0) + self.first.get(" ".join(words[:2]), 0.0) + self.last.get(words[-1], 0.0)
-                if marks[5:6] == ["subject"]:
-                    z += get(f"subject first {words[0]}", 0.0) + get(f"subject last {words[-1]}", 0.0) + get(f"subject words {min(len(words), 8)}", 0.0)
-                c = min(max(z, -MAX_COST), MAX_COST)
-            # With labels of the page's own the cost is the page's own too.
-            if len(masked) < 200 and labels is None:
-                if len(self.costs) >= self.known:
-                    self.costs.clear()
-                self.costs[masked] = c
+        if c is not None:
+            return c
+        bare = _bare(masked)
+        tokens = bare.split()
+        words: list[str] = []
+        for t in tokens:
+            words += _known_words[t]
+            if len(words) >= 8:
+                break
+        if not words:
+            c = 0.0
+        else:
+            get = self.model.weights.get
+            n = min(len(words), 8)
+            last = next(w[-1] for w in map(_known_words.__getitem__, reversed(tokens)) if w)
+            crumb = is_crumb(masked, self.model.labels if labels is None else labels)
+            z = get("", 0.0) + self._kind(masked)[n] + self.ends[min(_n_ends(masked), 3)] + self.length[min(len(masked) // 20, 12)]
+            z += get("closed" if _closed(masked) else "open", 0.0)
+            z += sum(get(x, 0.0) for x in _marks(masked, bare, crumb)) + sum(map(self.tokens.__getitem__, tokens))
+            z += self.first.get(words[0], 0.0) + self.first.get(" ".join(words[:2]), 0.0) + self.last.get(last, 0.0)
+            if "§" in bare and not crumb:
+                z += get(f"subject first {words[0]}", 0.0) + get(f"subject last {last}", 0.0) + get(f"subject words {n}", 0.0)
+            c = min(max(z, -MAX_COST), MAX_COST)
+        # With labels of the page's own the cost is the page's own too.
+        if len(masked) < 200 and labels is None:
+            if len(self.costs) >= self.known:
+                self.costs.clear()
+            self.costs[masked] = c
         return c
 
-    def page(self, url: str | None, text: str, about: tuple | None = None) -> tuple[list[int], list[float], list[tuple[int, int, float]]]:
-        """Numbers, costs and edges of the non-blank lines. ``about``: the words that are common on this page and the labels it may have, if known."""
-        common, labels = about or (self.model.common, None)
-        site = site_of(url, text)
-        masked = masked_lines(text, site, subjects_of(url, text, site, common))
-        numbers = [no for no, m in enumerate(masked, 1) if m]
-        costs = [self.cost(m, labels) for m in masked if m]
-        return numbers, costs, structure_edges([x for x in map(str.strip, text.split("\n")) if x], numbers)
-
     def furniture(self, urls: list[str | None], texts: list[str], about: list[tuple] | None = None) -> list[list[int]]:
-        """The numbers of each page's furniture lines; the pages go through the cut together."""
-        got = [self.page(u, t, a) for u, t, a in zip(urls, texts, about or [None] * len(urls), strict=True)]
-        starts = np.concatenate([[0], np.cumsum([len(g[0]) for g in got], dtype=np.int64)])
-        edges = [(a + s, b + s, w) for s, g in zip(starts.tolist(), got, strict=False) for a, b, w in g[2]]
-        u, v, w = (np.array(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        cut = min_cut(np.array([c for g in got for c in g[1]]), u, v, w)
-        return [[no for no, f in zip(g[0], cut[s:e].tolist(), strict=True) if f] for g, s, e in zip(got, starts, starts[1:], strict=False)]
+        """The numbers of each page's furniture lines; the pages go through the cut together.
+
+        ``about``: the words that are common on each page and the labels it may have, if known.
+        """
+        costs: list[float] = []
+        numbers: list[list[int]] = []
+        edges = Edges()
+        for url, text, (common, labels) in zip(urls, texts, about or [(self.model.common, None)] * len(urls), strict=True):
+            site = site_of(url, text)
+            masked = masked_lines(text, site, subjects_of(url, text, site, common))
+            here = [no for no, m in enumerate(masked, 1) if m]
+            edges.page([x for x in map(str.strip, text.split("\n")) if x], here, len(costs))
+            costs += [self.cost(m, labels) for m in masked if m]
+            numbers.append(here)
+        cut = iter(min_cut(np.array(costs), np.array(edges.u, dtype=np.int64), np.array(edges.v, dtype=np.int64), np.array(edges.w)).tolist())
+        return [[no for no in here if next(cut)] for here in numbers]
 
 
 class Rare:
@@ -459,12 +544,13 @@ class Holders(dict):
         self.most = most
 
     def add(self, things: Iterable, file: int) -> None:
+        get, most, one = self.get, self.most, (file,)
         for x in things:
-            held = self.get(x)
+            held = get(x)
             if held is None:
-                self[x] = (file,)
-            elif len(held) < self.most and file not in held:
-                self[x] = (*held, file)
+                self[x] = one
+            elif len(held) < most and file not in held:
+                self[x] = held + one
 
 
 class Inspector:
@@ -472,14 +558,31 @@ class Inspector:
 
     def __init__(self, known: int = 300_000):
         self.known, self.lines = known, {}
+        self.shapes: dict[str, str] = {}
+
+    def shape(self, masked: str, common: frozenset[str] | Rare) -> str:
+        """The shape of a line, put together from what stands between spaces, which repeats."""
+        if isinstance(common, Rare):
+            return _shape(masked, common)
+        if len(self.shapes) >= self.known:
+            self.shapes.clear()
+        out = []
+        for token in _bare(masked).split():
+            got = self.shapes.get(token)
+            if got is None:
+                got = _shape(token, common)
+                if len(token) <= 40:
+                    self.shapes[token] = got
+            out.append(got)
+        return " ".join(out)
 
     def line(self, masked: str, common: frozenset[str] | Rare) -> tuple[int, int, int, list[int]] | None:
         """Hashes of the line, of its shape and of the label it may be (0 where it has none), and the labels of its trail. None without words."""
         if masked in self.lines:
             return self.lines[masked]
         got = None
-        if _WORD.search(_LINK.sub("]", masked)):
-            shape = 0 if _CLOSED.search(masked) else _hash(_shape(masked, common))
+        if _WORD.search(_bare(masked)):
+            shape = 0 if _closed(masked) else _hash(self.shape(masked, common))
             got = _hash(masked), shape, _label(masked) if _may_be_label(masked) else 0, _parts(masked)
         # What is kept of a line depends on the common words, which with ``Rare`` are another set for each page.
         if len(masked) < 200 and not isinstance(common, Rare):
@@ -514,16 +617,26 @@ def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _word_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``word``, ``files``: up to ``MIN_FILES`` of the files that hold a word, of each task's pages (``key``, ``text``)."""
+    """``word``, ``files``: up to ``MIN_FILES`` of the files that hold a word, of each task's pages (``key``, ``text``).
+
+    What stands between spaces is counted first and cut into words once: a word's files are those of all that it stands in.
+    """
     held = Holders(MIN_FILES)
-    names = {"word": pa.string(), "files": _LONGS}
+
+    def flush() -> pa.RecordBatch:
+        words = Holders(MIN_FILES)
+        for token, files in held.items():
+            for file in files:
+                words.add(_known_words[token], file)
+        held.clear()
+        return _batch({"word": pa.string(), "files": _LONGS}, list(words.items()))
+
     for b in batches:
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            held.add(word_set(text.lower()), key)
+            held.add(set(text.lower().split()), key)
             if len(held) >= KNOWN:
-                yield _batch(names, list(held.items()))
-                held.clear()
-    yield _batch(names, list(held.items()))
+                yield flush()
+    yield flush()
 
 
 def _attach(rows: DataFrame, pairs: DataFrame, known: DataFrame, name: str, how: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from lectern.llm.mainbody import ALIKE, APART, ITEM, SECTION, Labeller, Model, features, fit, fit_on, furniture_lines, main_bodies, min_cut, not_main_body, prepare, structure_edges
+from lectern.llm.mainbody import ALIKE, APART, ITEM, SECTION, Edges, Labeller, Model, features, fit, fit_on, furniture_lines, main_bodies, min_cut, not_main_body, one_digit, prepare
 
 PAGE = "page_id long, file string, url string, text string, lines string, main_text string"
 
@@ -26,7 +26,9 @@ def test_min_cut_against_brute_force():
 
 def test_structure_edges():
     lines = ["# Title", "Words.", "## Part", "- a", "- b", "- c", "End."]
-    got = {(a, b): w for a, b, w in structure_edges(lines, [1, 3, 5, 6, 7, 8, 10])}
+    edges = Edges()
+    edges.page(lines, [1, 3, 5, 6, 7, 8, 10])
+    got = {(a, b): w for a, b, w in zip(edges.u, edges.v, edges.w, strict=True)}
     assert set(got) == {*zip(range(6), range(1, 7), strict=True), (3, 5), (0, 2), (2, 6)}
     assert got[3, 4] == ALIKE and got[5, 6] == APART and got[3, 5] == ITEM and got[0, 2] == got[2, 6] == SECTION
 
@@ -108,3 +110,16 @@ def test_a_hundredth_of_many_sites(spark):
     df = spark.createDataFrame(rows, PAGE)
     got = {(r.page_id, r.line_no) for r in not_main_body(df, prepare(df, len(rows) // 100).model).collect()}
     assert len(got & set(want)) >= 0.99 * len(want) and len(got & set(want)) >= 0.99 * len(got)
+
+
+def test_digits():
+    assert one_digit("a12b٣٤5c1,000.００") == "a0b0c0,0.0"
+
+
+def test_costs_are_sums_of_weights():
+    pages = [(r[1], r[2], r[3]) for r in site_pages(30)]
+    model = fit(pages)
+    labeller = Labeller(model)
+    for line in ["- [fees](https://x/0)", "## about the § track", "bring 0 forms. wait for § now! “sent.” 好。", "home > fees", "› programs zel0dale", "© 0 ¤ college. all rights reserved.", "the form and § …", "the the the form (of the form). x " * 9, "0"]:
+        z = model.weights[""] + sum(model.weights.get(x, 0.0) for x in features(line, model.labels))
+        assert abs(labeller.cost(line) - (min(max(z, -6.0), 6.0) if line != "0" else 0.0)) < 1e-9, line
