@@ -50,7 +50,8 @@ def p4_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_limits(spark: SparkSession, d: str) -> DataFrame:
-    return cutoff.field_limits(cutoff.captures(_table(spark, d, "raw_pages"), _table(spark, d, "source_manifest")))
+    seen = cutoff.inspected(_table(spark, d, "raw_pages"))
+    return cutoff.field_limits(cutoff.captures(seen, _table(spark, d, "source_manifest")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

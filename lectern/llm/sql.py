@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lectern.llm.cutoff import MIN_AT_LIMIT, SIGMAS
+
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 P2_FOUND = rf"""
@@ -31,5 +33,30 @@ AND length(regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$',
 """
 
 
+_OWNER = f"lower(regexp_replace(regexp_replace(source_id, '^{_SPACE}+', ''), '{_SPACE}+$', ''))"
+P4_LIMITS = rf"""
+WITH bare_ AS (
+  SELECT file, regexp_replace(text, '\x{{FFFD}}+$', '') AS t FROM raw_pages WHERE page_id IS NOT NULL
+), kept_ AS (
+  SELECT file, t, length(t) AS cp, strlen(t) AS b, length(t) - length(replace(t, chr(10), '')) AS lf, (length(t) - length(replace(t, chr(13) || chr(10), ''))) // 2 AS crlf,
+    length(t) - length(replace(t, chr(13), '')) AS cr, length(t) - length(replace(t, chr(9), '')) AS tab, length(t) - length(replace(t, '"', '')) AS quotes,
+    length(t) - length(replace(t, '&', '')) AS amps, length(t) - length(replace(replace(t, '<', ''), '>', '')) AS angles, length(t) - length(replace(t, chr(92), '')) AS slashes,
+    length(regexp_replace(t, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS wide
+  FROM bare_ WHERE regexp_replace(t, '{_SPACE}+', '', 'g') <> ''
+), owner_ AS (SELECT file, min({_OWNER}) AS source FROM source_manifest WHERE file IS NOT NULL GROUP BY file),
+sizes_ AS (
+  SELECT source, unnest([
+    {{'measure': 'code_points', 'size': cp}}, {{'measure': 'utf16_units', 'size': cp + wide}}, {{'measure': 'utf8_bytes', 'size': b}},
+    {{'measure': 'code_points_crlf', 'size': cp + lf - crlf}}, {{'measure': 'code_points_lf', 'size': cp - crlf}},
+    {{'measure': 'utf8_bytes_crlf', 'size': b + lf - crlf}}, {{'measure': 'utf8_bytes_lf', 'size': b - crlf}},
+    {{'measure': 'entities', 'size': cp + 4 * amps + 3 * angles + 5 * quotes}}, {{'measure': 'json', 'size': cp + lf + cr + tab + quotes + slashes}}], recursive := true)
+  FROM kept_ LEFT JOIN owner_ USING (file)
+), total_ AS (SELECT source, count(*) AS n_captures FROM kept_ LEFT JOIN owner_ USING (file) GROUP BY source),
+at_ AS (SELECT source, measure, size, count(*) AS n_at FROM sizes_ GROUP BY source, measure, size HAVING count(*) >= {MIN_AT_LIMIT}),
+even_ AS (SELECT a.*, n_captures, n_captures / greatest(size, 1) * 2 AS even FROM at_ a JOIN total_ t ON a.source IS NOT DISTINCT FROM t.source)
+SELECT source, measure, CAST(size AS INTEGER) AS size, n_at, n_captures FROM even_ WHERE n_at > even + {SIGMAS} * sqrt(even)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND}
+    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p4_limits": P4_LIMITS}

@@ -1,6 +1,4 @@
-from pyspark.sql import functions as F
-
-from lectern.llm.cutoff import captures, cut_captures, field_limits, lengths, source_shares
+from lectern.llm.cutoff import MEASURES, captures, cut_captures, field_limits, inspected, lengths, opening_words, source_shares
 
 PAGE = "page_id long, file string, url string, text string, source string, cut boolean"
 MANIFEST = "file string, source_id string, title string"
@@ -29,15 +27,15 @@ def test_limits_and_shares(spark):
     rows += [(200, "f0", None, None, "", None), (201, "f0", None, " \n", "", None), rows[0]]
     pages = spark.createDataFrame(rows, PAGE)
     manifest = spark.createDataFrame([(f"f{i}", " SRC1", "t") for i in range(12)] * 2 + [("none", "src9", "t"), (None, None, None)], MANIFEST)
-    limits = field_limits(captures(pages, manifest)).collect()
+    limits = field_limits(captures(inspected(pages), manifest)).collect()
     assert {(r.source, r["size"]) for r in limits if r.measure == "code_points"} == {("src1", 900)}
     got = {r.source: (r.n_captures, r.n_cut) for r in source_shares(pages, manifest).collect()}
     assert got["src9"] == (0, 0) and got["src1"][0] == 12 and got["src1"][1] >= 11 and got[None][0] == 3
 
 
-def test_lengths(spark):
+def test_lengths():
     text = 'é<&"\n\r\n😀'
-    got = spark.createDataFrame([(text,)], "t string").select(lengths(F.col("t")).alias("m")).first().m
+    got = dict(zip(MEASURES, lengths(text), strict=True))
     assert got["code_points"] == len(text) == 8
     assert got["utf8_bytes"] == len(text.encode())
     assert got["utf16_units"] == len(text.encode("utf-16-le")) // 2
@@ -45,5 +43,31 @@ def test_lengths(spark):
     assert got["code_points_lf"] == len(text.replace("\r\n", "\n"))
 
 
+def test_limits_decide(spark):
+    """A last line that opens as no other does shows nothing by itself; at a limit of its source the text is cut."""
+    rows = [(i, f"f{i}", None, ("The tower opens at nine and closes late.\n\n" * 9 + f"Zyx{i} " + "ab" * 300)[:600], "", None) for i in range(9)]
+    rows += [(50 + i, f"f{50 + i}", None, ("The tower opens at nine and closes late.\n\n" * 9 + f"Zyx{i} " + "ab" * 300)[: 400 + 17 * i], "", None) for i in range(3)]
+    # At the limit by chance, and whole.
+    rows += [(60, "f60", None, ("The tower opens at nine and closes late. " * 15)[:599] + ".", "", None)]
+    pages = spark.createDataFrame(rows, PAGE)
+    manifest = spark.createDataFrame([(f"f{i}", "src1", "t") for i in range(70)], MANIFEST)
+    with_limits, without = ({r.page_id: r.path for r in cut_captures(pages, manifest, use).where("cut").collect()} for use in (True, False))
+    assert with_limits == {i: "limit" for i in range(9)} and without == {}
+
+
+def test_openings():
+    assert opening_words("The Hall opens “Late in May 2031") == ["The", "A", "opens", "“A", "in"]
+    assert opening_words("2031年 招生 open") == ["0年", "_", "招", "生", "_"]
+    assert opening_words("a" * 500 + " b") == ["a" * 500, "b"]
+
+
+def test_long_last_lines(spark):
+    """An address of any length, and a line of any length, are looked at whole."""
+    long = "The tower opens at nine. It closes late, see [the map](https://x.example/" + "p" * 2000 + "."
+    rows = [(1, "a", None, long, "", None), (2, "b", None, "A word " * 5000 + "at the end.", "", None), (3, "c", None, "The tower is open. " * 3000 + "It clos", "", None)]
+    got = {r.page_id: r.cut for r in cut_captures(spark.createDataFrame(rows, PAGE), spark.createDataFrame([], MANIFEST)).collect()}
+    assert got == {1: True, 2: False, 3: True}
+
+
 def test_empty(spark):
     assert cut_captures(spark.createDataFrame([], PAGE), spark.createDataFrame([], MANIFEST)).count() == 0
