@@ -11,88 +11,208 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
 
-_HEADING = re.compile(r"^#{1,6}[ \t]", re.M)
-_BLANK = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+_HEADING = re.compile(r"#{1,6}(?=[ \t])|<h[1-6]\b", re.I)
+#: An item's mark, and the end of an element that stands alone.
+_ITEM, _ROW = re.compile(r"([ \t]*)(?:[-*+•›»]|\d{1,9}[.)])[ \t]"), re.compile(r"[ \t]*\|")
+_ELEMENT = re.compile(r"</(?:p|div|ul|ol|li|table|tr|section|article|h[1-6])>|<br ?/?>", re.I)
 _SENTENCE = re.compile(r"(?:[.!?…]+[\"'”’»)\]]*(?=\s))|(?:[。！？]+[”’」』）]*)")
-_WORD = re.compile(r"\S+")
+_WORD = re.compile(r"\S+\s*")
 #: Characters that belong to the one before them.
-_JOINED = re.compile(r"[\u0300-\u036f\u200c\u200d\ufe00-\ufe0f\u20d0-\u20ff\U0001f3fb-\U0001f3ff]")
+_JOINED = re.compile(r"[̀-ͯ‌‍︀-️⃐-⃿\U0001f3fb-\U0001f3ff]")
 
+#: Lists in lists that are told apart.
+DEEPEST = 50
 Span = tuple[int, int]
 
 
-def _tight(text: str, spans: Iterator[Span]) -> list[Span]:
-    out = []
-    for s, e in spans:
-        while s < e and text[s].isspace():
-            s += 1
-        while e > s and text[e - 1].isspace():
-            e -= 1
-        if s < e:
-            out.append((s, e))
-    return out
+class Node:
+    """A part of a text: its span and its kind. Children of a node lie side by side and fill its span; white space belongs to what it follows."""
+
+    __slots__ = ("children", "end", "kind", "start")
+
+    def __init__(self, kind: str, start: int, end: int, children: list[Node] | None = None):
+        self.kind, self.start, self.end, self.children = kind, start, end, children
 
+    def parts(self, text: str) -> list[Node]:
+        """The children; those of blocks, lines and sentences are found when they are asked for."""
+        if self.children is None:
+            self.children = _opened(text, self)
+        return self.children
 
-def _cut(text: str, s: int, e: int, marks: list[int]) -> list[Span]:
+
+def _cut(kind: str, s: int, e: int, marks: list[int]) -> list[Node]:
     at = [s, *[m for m in marks if s < m < e], e]
-    return _tight(text, zip(at, at[1:], strict=False))
+    return [Node(kind, a, b) for a, b in zip(at, at[1:], strict=False)]
 
 
-def children(text: str, s: int, e: int, level: int) -> list[Span]:
-    """The parts of a node of the structure tree.
+def _opened(text: str, node: Node) -> list[Node]:
+    s, e = node.start, node.end
+    if node.kind in ("block", "item", "heading"):
+        marks = [i + 1 for i in range(s, e) if text[i] == "\n"] + [m.end() for m in _ELEMENT.finditer(text, s, e)]
+        return _cut("line", s, e, sorted(marks))
+    if node.kind in ("line", "row"):
+        # White space after a sentence belongs to it.
+        return _cut("sentence", s, e, [_skip(text, m.end(), e) for m in _SENTENCE.finditer(text, s, e)])
+    if node.kind == "sentence":
+        return _cut("word", s, e, [m.start() for m in _WORD.finditer(text, s, e)])
+    return []
 
-    Levels 0-5 part by headings of that depth or less, then blocks at blank lines, lines (items, rows), sentences, words.
-    """
-    if level < 6:
-        return _cut(text, s, e, [m.start() for m in _HEADING.finditer(text, s, e) if m.end() - m.start() - 1 <= level + 1])
-    if level == 6:
-        return _cut(text, s, e, [m.end() for m in _BLANK.finditer(text, s, e)])
-    if level == 7:
-        return _cut(text, s, e, [i + 1 for i in range(s, e) if text[i] == "\n"])
-    if level == 8:
-        return _cut(text, s, e, [m.end() for m in _SENTENCE.finditer(text, s, e)])
-    return [m.span() for m in _WORD.finditer(text, s, e)]
 
+def _skip(text: str, i: int, e: int) -> int:
+    while i < e and text[i].isspace():
+        i += 1
+    return i
 
-LEVELS = 10
 
+def _lists(text: str, lines: list[Span], level: int = 0) -> list[Node]:
+    """Lines of a list as items, each with the deeper items below it as its children."""
+    out: list[Node] = []
+    i = 0
+    while i < len(lines):
+        s, e = lines[i]
+        m = _ITEM.match(text, s, e)
+        depth = len(m.group(1)) if m and level < DEEPEST else 1 << 30
+        j = i + 1
+        while j < len(lines):
+            n = _ITEM.match(text, *lines[j])
+            if n and len(n.group(1)) <= depth:
+                break
+            j += 1
+        own = next((k for k in range(i + 1, j) if _ITEM.match(text, *lines[k])), j)
+        head = Node("item", s, lines[own - 1][1])
+        out.append(head if own == j else Node("items", s, lines[j - 1][1], [head, *_lists(text, lines[own:j], level + 1)]))
+        i = j
+    return out
 
-def pack(text: str, limit: int, overlap: int) -> list[Span]:
-    """Spans of the pieces' own text, tight and in order; ``end - previous end`` leaves room for the overlap.
 
-    A node that fits is taken whole and merged with what stands before it as far as the limit allows;
-    only a node that doesn't fit a piece of its own is opened, one level further down. A word longer
-    than the room is cut between code points.
+def tree(text: str) -> Node:
+    """The structure of a text without white space at its ends: sections by the depth of their headings, in these blocks between blank lines, lists by their indentation, tables by rows.
+
+    Below those are lines, sentences and words.
     """
+    lines: list[Span] = []
+    s = 0
+    for part in re.findall(r"[^\n]*\n|[^\n]+", text):
+        lines.append((s, s + len(part)))
+        s += len(part)
+    blocks: list[tuple[int, Node]] = []  # depth of a heading or 0, node
+    i = 0
+    while i < len(lines):
+        j = i + 1
+        kind = _kind(text, lines[i])
+        while j < len(lines) and (not text[lines[j][0] : lines[j][1]].strip() or kind != "heading" and text[lines[j - 1][0] : lines[j - 1][1]].strip() and _joins(kind, _kind(text, lines[j]))):
+            j += 1
+        s, e = lines[i][0], lines[j - 1][1]
+        if kind == "heading":
+            m = _HEADING.match(text, s, e)
+            # A heading element may have its section on the same line.
+            alone = text[s] == "#" or text[s:e].rstrip().find("</h") == len(text[s:e].rstrip()) - 5
+            blocks.append((int(text[m.end() - 1]) if text[s] == "<" else m.end() - s, Node("heading" if alone else "block", s, e)))
+        elif kind == "row":
+            blocks.append((0, Node("table", s, e, [Node("row", *x) for x in _joined(text, lines[i:j])])))
+        elif kind == "item":
+            blocks.append((0, Node("list", s, e, _lists(text, _joined(text, lines[i:j])))))
+        else:
+            blocks.append((0, Node("block", s, e)))
+        i = j
+    return Node("section", 0, len(text), _sections(blocks))
 
-    def room(before: int) -> int:
-        return limit - overlap if before else limit
 
+def _joined(text: str, lines: list[Span]) -> list[Span]:
+    """Lines with the blank ones after them."""
     out: list[Span] = []
-    open_: Span | None = None
-    todo = [(s, e, 0) for s, e in _tight(text, iter([(0, len(text))]))]
-    while todo:
-        s, e, level = todo.pop()
-        before = out[-1][1] if out else 0
-        if open_ and e - before <= room(before):
-            open_ = (open_[0], e)
-            continue
-        last = open_[1] if open_ else before
-        if e - last <= room(last):
-            if open_:
-                out.append(open_)
-            open_ = (s, e)
-        elif level < LEVELS:
-            todo += [(*p, level + 1) for p in reversed(children(text, s, e, level))]
+    for s, e in lines:
+        if out and not text[s:e].strip():
+            out[-1] = (out[-1][0], e)
         else:
-            if open_:
-                out.append(open_)
-            cut = last + room(last)
+            out.append((s, e))
+    return out
+
+
+def _kind(text: str, line: Span) -> str:
+    if _HEADING.match(text, *line):
+        return "heading"
+    return "row" if _ROW.match(text, *line) else "item" if _ITEM.match(text, *line) else "block"
+
+
+def _joins(kind: str, after: str) -> bool:
+    """Whether a line goes on with the block before it; a line of text below an item belongs to it."""
+    return after == kind or kind == "item" and after == "block"
+
+
+def _sections(blocks: list[tuple[int, Node]]) -> list[Node]:
+    """Blocks as sections: a heading and all up to the next one of its depth or less."""
+    out: list[Node] = []
+    i = 0
+    while i < len(blocks):
+        d, node = blocks[i]
+        if not d:
+            out.append(node)
+            i += 1
+            continue
+        j = i + 1
+        while j < len(blocks) and not 0 < blocks[j][0] <= d:
+            j += 1
+        inner = _sections(blocks[i + 1 : j])
+        out.append(Node("section", node.start, inner[-1].end, [node, *inner]) if inner else node)
+        i = j
+    return out
+
+
+def pack(text: str, limit: int, overlap: int) -> list[Span]:
+    """Spans of the pieces' own text, in order; each begins where the one before ends. The first is at most ``limit`` long, the others leave room for the overlap.
+
+    Subtrees are merged bottom-up: a node that fits is whole, and siblings next to each other are merged as far as the limit allows. Only a node that is too large is
+    opened, and its parts are merged among themselves alone, so a piece crosses the border of a section or block only where it holds both whole. A heading
+    goes with what follows it. A word longer than the room is cut between code points.
+    """
+
+    def room(start: int) -> int:
+        return limit - overlap if start else limit
+
+    def trim(e: int) -> int:
+        while e and text[e - 1].isspace():
+            e -= 1
+        return e
+
+    def sliced(s: int, e: int) -> list[Span]:
+        out = []
+        while e - s > room(s):
+            cut = s + room(s)
             while cut > s + 1 and _JOINED.match(text, cut):
                 cut -= 1
-            open_ = (s, max(cut, s + 1))
-            todo.append((open_[1], e, level))
-    return [*out, open_] if open_ else out
+            out.append((s, cut))
+            s = cut
+        return [*out, (s, e)]
+
+    def packed(node: Node, start: int) -> list[Span]:
+        """The pieces from ``start``, where the piece before ends or a heading that goes with the node begins, to the node's end."""
+        if trim(node.end) - start <= room(start):
+            return [(start, trim(node.end))]
+        parts = node.parts(text)
+        if not parts:
+            lead = trim(node.start)
+            return [*([(start, lead)] if lead > start else []), *sliced(lead, trim(node.end))]
+        out: list[Span] = []
+        first = end = start  # of the open group of siblings
+        tail: int | None = None  # where the headings at its end begin
+        for part in parts:
+            e = trim(part.end)
+            if e - first > room(first):
+                cut = end if tail is None else tail
+                if cut > first:
+                    out.append((first, cut))
+                    first = cut
+                if e - first > room(first):
+                    out += packed(part, first)
+                    first, tail = out[-1][1], None
+                    end = first
+                    continue
+            tail = (end if tail is None else tail) if part.kind == "heading" else None
+            end = e
+        return [*out, (first, end)] if end > first else out
+
+    return packed(tree(text), 0) if text else []
 
 
 def pieces_of(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
@@ -136,6 +256,18 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
     return bare.mapInArrow(run, SCHEMA)
 
 
+def rejoined(pieces: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """``chunk_id``, ``text_md5`` of the pieces without their overlaps joined, ``over_limit`` and ``odd_overlaps``: how many pieces are too long, or don't overlap as they should.
+
+    A check of ``split_oversized``: the first equals the MD5 of the stripped text, the others are 0. ``pieces`` has no repeated rows.
+    """
+    rows = pieces.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "start", "end", "piece"))).alias("p"), F.count_if(F.length("piece") > limit).alias("over_limit"))
+    before = lambda i: F.get("p", i - 1)
+    own = F.transform("p", lambda x, i: F.when(i == 0, x.piece).otherwise(F.substring(x.piece, before(i).end - x.start + 1, F.length(x.piece))))
+    odd = F.transform("p", lambda x, i: F.when((i > 0) & (before(i).end - x.start != F.least(F.lit(overlap), before(i).end - before(i).start)), 1).otherwise(0))
+    return rows.select("chunk_id", F.md5(F.array_join(own, "")).alias("text_md5"), "over_limit", F.aggregate(odd, F.lit(0), lambda a, b: a + b).alias("odd_overlaps"))
+
+
 def chunk_limit(limits: DataFrame, name: str = "chunk_text") -> tuple[int, int]:
     """``max_size`` and ``overlap`` of a limit, one row of a table of four."""
     row = limits.where(F.col("limit_name") == name).select("max_size", "overlap").first()

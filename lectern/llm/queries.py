@@ -41,6 +41,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return got.where("n_pieces > 1 and chunk_id is not null").select("chunk_id").distinct()
 
 
+def p3_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.rejoined(p3_pieces(spark, d).where("chunk_id is not null"), *pieces.chunk_limit(_table(spark, d, "size_limits")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.cut_captures(_table(spark, d, "raw_pages"), _table(spark, d, "source_manifest")).where("cut").select("page_id")
 

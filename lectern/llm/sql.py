@@ -27,11 +27,12 @@ SELECT chunk_id, source_id, text, array_to_string(list_filter(ls, lambda x, i: N
   CAST(len(list_filter(ls, lambda x, i: list_contains(n, CAST(i AS INTEGER)))) AS INTEGER) AS lines_removed FROM kept_
 """
 
-P3_FOUND = rf"""
-SELECT DISTINCT chunk_id FROM chunks WHERE chunk_id IS NOT NULL
-AND length(regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '')) > 950
+_LONG = f"""
+WITH bare_ AS (SELECT DISTINCT chunk_id, regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS t FROM chunks WHERE chunk_id IS NOT NULL),
+long_ AS (SELECT chunk_id, t FROM bare_ WHERE length(t) > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk_text'))
 """
-
+P3_FOUND = f"{_LONG} SELECT DISTINCT chunk_id FROM long_"
+P3_REJOINED = f"{_LONG} SELECT chunk_id, md5(t) AS text_md5, CAST(0 AS BIGINT) AS over_limit, 0 AS odd_overlaps FROM long_"
 
 _OWNER = f"lower(regexp_replace(regexp_replace(source_id, '^{_SPACE}+', ''), '{_SPACE}+$', ''))"
 P4_LIMITS = rf"""
@@ -59,4 +60,4 @@ SELECT source, measure, CAST(size AS INTEGER) AS size, n_at, n_captures FROM eve
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p4_limits": P4_LIMITS}
+    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p3_rejoined": P3_REJOINED, "p4_limits": P4_LIMITS}
