@@ -74,6 +74,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_containers(spark, d), _table(spark, d, "size_limits"))
 
 
+def p6_placed(spark: SparkSession, d: str) -> DataFrame:
+    sized, limits = packing.sized_documents(_table(spark, d, "documents")), _table(spark, d, "size_limits")
+    return packing.placed(packing.containers(sized, limits), sized, limits)
+
+
 def p7_draws(spark: SparkSession, d: str) -> DataFrame:
     return mixing.draw(packing.sized_documents(_table(spark, d, "documents")), _table(spark, d, "mix_targets"))[0]
 

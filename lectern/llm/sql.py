@@ -58,6 +58,11 @@ even_ AS (SELECT a.*, n_captures, n_captures / greatest(size, 1) * 2 AS even FRO
 SELECT source, measure, CAST(size AS INTEGER) AS size, n_at, n_captures FROM even_ WHERE n_at > even + {SIGMAS} * sqrt(even)
 """
 
+P6_PLACED = """
+SELECT limit_name, count(*) AS documents, count(*) FILTER (coalesce(text, '') = '') AS empty, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS wrong
+FROM documents, (SELECT DISTINCT limit_name FROM size_limits WHERE suffix(limit_name, '_box')) WHERE doc_id IS NOT NULL GROUP BY limit_name
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p3_rejoined": P3_REJOINED, "p4_limits": P4_LIMITS}
+    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p3_rejoined": P3_REJOINED, "p4_limits": P4_LIMITS, "p6_placed": P6_PLACED}
