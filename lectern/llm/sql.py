@@ -27,6 +27,17 @@ SELECT chunk_id, source_id, text, array_to_string(list_filter(ls, lambda x, i: N
   CAST(len(list_filter(ls, lambda x, i: list_contains(n, CAST(i AS INTEGER)))) AS INTEGER) AS lines_removed FROM kept_
 """
 
+# Lines are named by their least spelling without outer white space.
+P2_LINES = rf"""
+WITH rows_ AS (
+  SELECT DISTINCT chunk_id, lower(regexp_replace(regexp_replace(source_id, '^{_SPACE}+', ''), '{_SPACE}+$', '')) AS source, text
+  FROM chunks WHERE chunk_id IS NOT NULL AND source_id IS NOT NULL AND text IS NOT NULL
+), each_ AS (SELECT chunk_id, source, unnest(string_split(text, chr(10))) AS raw FROM rows_),
+keyed AS (SELECT *, regexp_replace(replace(lower(raw), 'ß', 'ss'), '[\t-\r\x1c-\x20\x{{85}}\p{{Z}}\p{{Nd}}]+', '', 'g') AS line FROM each_)
+SELECT source, min(regexp_replace(regexp_replace(raw, '^{_SPACE}+', ''), '{_SPACE}+$', '')) AS line, count(DISTINCT chunk_id) AS chunks
+FROM keyed k WHERE regexp_matches(k.line, '\p{{L}}') GROUP BY source, k.line HAVING count(DISTINCT chunk_id) >= 8
+"""
+
 _LONG = f"""
 WITH bare_ AS (SELECT DISTINCT chunk_id, regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS t FROM chunks WHERE chunk_id IS NOT NULL),
 long_ AS (SELECT chunk_id, t FROM bare_ WHERE length(t) > (SELECT max_size FROM size_limits WHERE limit_name = 'chunk_text'))
@@ -65,4 +76,4 @@ FROM documents, (SELECT DISTINCT limit_name FROM size_limits WHERE suffix(limit_
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p3_found": P3_FOUND, "p3_rejoined": P3_REJOINED, "p4_limits": P4_LIMITS, "p6_placed": P6_PLACED}
+    return {"p2_found": P2_FOUND, "p2_clean": P2_CLEAN, "p2_lines": P2_LINES, "p3_found": P3_FOUND, "p3_rejoined": P3_REJOINED, "p4_limits": P4_LIMITS, "p6_placed": P6_PLACED}

@@ -1,7 +1,8 @@
 import random
 import re
 
-from lectern.llm.lines import repeated_lines, site_line_report, without_site_lines
+from lectern.llm.lines import candidate_lines, lines_of, repeated_lines, site_line_report, without_site_lines
+from lectern.plans.staging import stage
 
 CHUNK = "chunk_id string, source_id string, text string, line string, source string"
 
@@ -70,3 +71,13 @@ def test_clean_texts_of_one_id_either_way(spark):
     df = spark.createDataFrame(rows, CHUNK)
     one, two = (sorted(map(str, without_site_lines(df, broadcast_rows=most).collect())) for most in (1_000_000, 0))
     assert one == two and len(one) == len(rows)
+
+
+def test_a_source_with_many_lines_has_few_candidates(spark):
+    """One source with ten times as many lines as a summary has counters to begin with."""
+    rows = [(f"c{i}", "s1", "\n".join([f"own {i}x{chr(97 + j % 26)}{chr(97 + j // 26)}{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260)}" for j in range(50)] + ["Share this"]), "x", "y") for i in range(200)]
+    lines = stage(lines_of(spark.createDataFrame(rows, CHUNK)), "lines")
+    assert lines.count() == 200 * 51
+    for width in (1 << 10, 1 << 16):
+        assert 200 <= candidate_lines(lines, width=width).count() < 0.05 * 200 * 51
+    assert repeated_lines(spark.createDataFrame(rows, CHUNK), width=1 << 10).count() == 200
