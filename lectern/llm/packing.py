@@ -27,7 +27,7 @@ MAX_BOXES = 1000
 def sized_documents(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """Staged ``doc_id``, ``source``, ``tokens``, distinct; null texts have no tokens."""
     counted = documents.where("doc_id is not null").select("doc_id", "source", "text")
-    counted = counted.mapInArrow(count_column("text", "tokens", folder, vocabulary), "doc_id long, source string, tokens long")
+    counted = counted.mapInArrow(count_column(documents.sparkSession, "text", "tokens", folder, vocabulary), "doc_id long, source string, tokens long")
     return stage(counted.distinct(), "sized")
 
 

@@ -20,6 +20,10 @@ def p1_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_budget(_table(spark, d, "chunks"))
 
 
+def p1_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
+    return budget.chunk_counts(_table(spark, d, "chunks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.repeated_lines(_table(spark, d, "chunks"))
 

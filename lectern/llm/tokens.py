@@ -13,6 +13,8 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 #: Folder and file of the vocabulary; both are parameters of every operator that counts tokens.
 TOKENIZERS = os.environ.get("LECTERN_TOKENIZERS", "/opt/tokenizers")
@@ -32,7 +34,8 @@ class Counter(dict):
         super().__init__()
         import tiktoken
 
-        with open(os.path.join(folder, vocabulary), "rb") as lines:
+        shipped = SparkFiles.get(vocabulary) if SparkFiles._root_directory else ""
+        with open(shipped if os.path.exists(shipped) else os.path.join(folder, vocabulary), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encode = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -64,16 +67,34 @@ def counter(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Counter:
     return _counters[key]
 
 
-def count_column(name: str, out: str, folder: str, vocabulary: str):
-    """A function for ``mapInArrow``: replaces string column ``name`` by its token count ``out`` (0 for null)."""
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_vocabulary(spark: SparkSession, folder: str, vocabulary: str) -> None:
+    """Sends the vocabulary's file from the driver's ``folder`` to the workers of a session, once, so that no other machine needs the folder."""
+    key = (spark.sparkContext.applicationId, vocabulary)
+    if key not in _shipped:
+        spark.sparkContext.addFile(os.path.join(folder, vocabulary))
+        _shipped.add(key)
+
+
+def count_column(spark: SparkSession, name: str, out: str, folder: str, vocabulary: str, skip: str | None = None):
+    """A function for ``mapInArrow``: replaces string column ``name`` by its token count ``out`` (0 for null).
+
+    With ``skip`` the count is null where that boolean column is true, and the column is replaced by the text where it is and by null elsewhere.
+    """
+    ship_vocabulary(spark, folder, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(folder, vocabulary).count
         for b in batches:
             at = b.schema.get_field_index(name)
-            n = pa.array([count(t) if t else 0 for t in b.column(at).to_pylist()], pa.int64())
-            arrays = [n if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[out if i == at else f for i, f in enumerate(b.schema.names)])
+            texts = b.column(at).to_pylist()
+            later = b.column(b.schema.get_field_index(skip)).to_pylist() if skip else [False] * len(texts)
+            made = {at: pa.array([None if s else count(t) if t else 0 for t, s in zip(texts, later, strict=True)], pa.int64())}
+            if skip:
+                made[b.schema.get_field_index(skip)] = pa.array([t if s else None for t, s in zip(texts, later, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([made.get(i, c) for i, c in enumerate(b.columns)], names=[out if i == at else f for i, f in enumerate(b.schema.names)])
 
     return run
 

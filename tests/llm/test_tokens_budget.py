@@ -3,7 +3,7 @@ import random
 from hypothesis import given
 from hypothesis import strategies as st
 
-from lectern.llm.budget import token_budget
+from lectern.llm.budget import chunk_counts, token_budget
 from lectern.llm.tokens import counter
 
 CHUNK = "chunk_id string, source_id string, lang string, scope string, text string, n_tokens int"
@@ -27,7 +27,10 @@ def test_budget_against_brute_force(spark):
         t = rng.choice(texts)
         row = (f"c{i}", rng.choice(["src1", " SRC1", "src2", None]), rng.choice(["en", "EN", "en-GB", None, "fr"]), rng.choice(["general", "General ", None]), t, 7)
         rows += [row] * rng.choice([1, 1, 3])
-    got = rows_by_level(token_budget(spark.createDataFrame(rows, CHUNK)))
+    df = spark.createDataFrame(rows, CHUNK)
+    got = rows_by_level(token_budget(df))
+    assert rows_by_level(token_budget(df, broadcast_rows=0)) == got
+    assert {(r.level, r.source, r.language, r.domain, r.n_chunks) for r in chunk_counts(df).collect()} == {(*k, n) for k, (n, _) in got.items()}
     want, c = {}, counter()
     for _, s, la, d, t, _ in {r[0]: r for r in rows}.values():
         s, la, d = s and s.strip().lower(), la and la.lower()[:2], d and d.strip().lower()
