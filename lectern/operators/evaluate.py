@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.config import ACCEPTED, EVALUATION_STOPWORDS
-from lectern.operators.index import evaluation_vectors, term_frequencies, unit_vectors
+from lectern.operators.index import evaluation_postings, term_frequencies, unit_vectors
 from lectern.operators.search import top_products
 from lectern.plans.staging import stage
 
@@ -16,8 +16,8 @@ def cosine_search(texts: DataFrame, questions: DataFrame, k: int = 1) -> DataFra
 
     ``texts`` has ``doc_id``, ``pos``, ``text``; ``questions`` has ``qid``, ``question``. Terms that no text has count in the question's length.
     """
-    vectors, idf, n = evaluation_vectors(texts.select("doc_id", "pos", "text"), "doc_id", "pos")
-    tf = term_frequencies(questions, F.col("question"), EVALUATION_STOPWORDS, "qid")
+    tf = stage(term_frequencies(questions, F.col("question"), EVALUATION_STOPWORDS, "qid"), "question-terms")
+    vectors, idf, n = evaluation_postings(texts.select("doc_id", "pos", "text"), tf.select("term").distinct(), "doc_id", "pos")
     asked = stage(unit_vectors(tf, idf.select("term", "idf"), n, "qid").select(F.col("qid").alias("q"), "term", F.col("w").alias("qw")), "asked")
     found = top_products(vectors, asked, k, n, questions.count())
     return found.withColumnRenamed("q", "qid").select("qid", "rank", "doc_id", "score")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.config import EVALUATION_STOPWORDS, SEARCH_STOPWORDS
 from lectern.functions.text import tokens
-from lectern.plans.staging import stage
+from lectern.plans.staging import stage, within
 
 
 def corpus(documents: DataFrame) -> DataFrame:
@@ -83,9 +83,15 @@ def unit_vectors(tf: DataFrame, idf: DataFrame, n: int, *keys: str) -> DataFrame
     return raw.join(norm, list(keys)).select(*keys, "term", (F.col("raw") / F.col("norm")).alias("w"))
 
 
-def evaluation_vectors(texts: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, int]:
-    """Unit vectors of ``texts`` (``keys``, ``text``) for evaluation, their idf, and how many texts there are; the first two staged."""
+def evaluation_postings(texts: DataFrame, asked: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame, int]:
+    """The weights of the terms in ``asked`` (``term``, distinct) in the unit vectors of ``texts`` (``keys``, ``text``), the idf of all terms (staged), and how many texts there are.
+
+    Lengths are of whole vectors; weights of terms that aren't asked are only summed.
+    """
     n = texts.count()
     tf = stage(term_frequencies(texts, F.col("text"), EVALUATION_STOPWORDS, *keys), "tf")
     idf = stage(document_frequencies(tf).select("term", "df", smoothed_idf(F.col("df"), n).alias("idf")), "idf")
-    return stage(unit_vectors(tf, idf, n, *keys), "vectors"), idf, n
+    raw = tf.join(idf, "term").select(*keys, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    marked = raw.join(F.broadcast(asked.withColumn("asked", F.lit(True))) if within(asked, 100_000) else asked.withColumn("asked", F.lit(True)), "term", "left")
+    one = marked.groupBy(*keys).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.when(F.col("asked"), F.struct("term", "raw"))).alias("p"))
+    return one.where(F.size("p") > 0).select(*keys, "norm", F.explode("p").alias("p")).select(*keys, "p.term", (F.col("p.raw") / F.col("norm")).alias("w")), idf, n

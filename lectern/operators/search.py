@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,10 +10,12 @@ from pyspark.sql import functions as F
 from lectern.config import SEARCH_STOPWORDS, Settings
 from lectern.functions.text import tokens
 from lectern.operators.index import Index
-from lectern.plans.staging import stage
+from lectern.plans.staging import broadcast_within, stage
 
 #: Documents and queries of one block; a task holds one block of each.
 BLOCK_DOCS, BLOCK_QUERIES = 4096, 2048
+#: Most distinct terms of queries that are broadcast.
+BROADCAST_TERMS = 500_000
 
 
 def top_products(postings: DataFrame, queries: DataFrame, k: int, n_docs: int, n_queries: int) -> DataFrame:
@@ -33,6 +33,11 @@ def top_products(postings: DataFrame, queries: DataFrame, k: int, n_docs: int, n
     def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
 
+    # Only terms that a query has are looked at, as numbers; what no query asks isn't shipped.
+    terms = broadcast_within(stage(queries.select("term").distinct().withColumn("t", F.monotonically_increasing_id()), "asked-terms"), BROADCAST_TERMS)
+    # Aliases tell the two sides' columns apart, which the cogroup needs.
+    postings = postings.join(terms, "term").select("doc_id", "pos", "w", F.col("t").alias("t"))
+    queries = queries.join(terms, "term").select("q", "qw", F.col("t").alias("t"))
     p = postings.withColumn("db", F.pmod(F.xxhash64("doc_id"), F.lit(db))).withColumn("qb", every(qb))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(qb))).withColumn("db", every(db))
 
@@ -45,26 +50,30 @@ def top_products(postings: DataFrame, queries: DataFrame, k: int, n_docs: int, n
     return found.withColumn("rank", best).where(F.col("rank") <= k)
 
 
-def _block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> Iterator[tuple]:
+def _block(left: pd.DataFrame, right: pd.DataFrame, k: int) -> list[tuple]:
     if left.empty or right.empty or not k:
         return []
     docs = left[["doc_id", "pos"]].drop_duplicates().sort_values(["pos", "doc_id"], ignore_index=True)
     at = docs.set_index("doc_id").index.get_indexer(left["doc_id"])
-    codes, names = pd.factorize(left["term"], sort=False)
-    order = np.argsort(codes, kind="stable")
-    ends = np.cumsum(np.bincount(codes, minlength=len(names)))
-    at, weights, starts = at[order], left["w"].to_numpy()[order], np.concatenate([[0], ends[:-1]])
-    where = dict(zip(names, zip(starts.tolist(), ends.tolist(), strict=True), strict=True))
+    order = np.argsort(left["t"].to_numpy(), kind="stable")
+    at, weights, sorted_terms = at[order], left["w"].to_numpy()[order], left["t"].to_numpy()[order]
     ids, pos = docs["doc_id"].tolist(), docs["pos"].tolist()
+    codes, names = pd.factorize(right["q"], sort=False)
+    by_query = np.argsort(codes, kind="stable")
+    asked, qw = right["t"].to_numpy()[by_query], right["qw"].to_numpy()[by_query]
+    starts, ends = np.searchsorted(sorted_terms, asked, "left"), np.searchsorted(sorted_terms, asked, "right")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(names)))])
     score = np.zeros(len(ids))
     out = []
-    for q, terms in right.groupby("q", sort=False):
+    for i, q in enumerate(names.tolist() if hasattr(names, "tolist") else list(names)):
         score[:] = 0
-        for term, qw in zip(terms["term"], terms["qw"], strict=True):
-            if term in where:
-                a, b = where[term]
-                score[at[a:b]] += weights[a:b] * qw
-        hit = np.nonzero(score > 0)[0]
+        for j in range(bounds[i], bounds[i + 1]):
+            a, b = starts[j], ends[j]
+            if b > a:
+                # A document has a term once, so no place repeats.
+                score[at[a:b]] += weights[a:b] * qw[j]
+        hit = np.flatnonzero(score)
+        hit = hit[score[hit] > 0]
         s = np.round(score[hit], 6)
         if len(hit) > k:
             least = np.partition(s, len(s) - k)[len(s) - k]
@@ -86,10 +95,10 @@ def search(index: Index, questions: DataFrame, k: int) -> DataFrame:
     How often a question repeats a term doesn't matter. Questions that ask the same terms are searched once. A question without a hit has no rows.
     """
     asked = stage(question_terms(questions).where(F.size("terms") > 0), "asked")
-    sets = asked.select("terms").distinct().select(F.array_join("terms", " ").alias("q"), "terms")
+    sets = stage(asked.select("terms").distinct().withColumn("q", F.monotonically_increasing_id()), "asked-sets")
     n = sets.count()
     found = top_products(index.postings, sets.select("q", F.explode("terms").alias("term"), F.lit(1.0).alias("qw")), k, index.n, n)
-    return asked.select("qid", F.array_join("terms", " ").alias("q")).join(found, "q").select("qid", "rank", "doc_id", "score")
+    return asked.join(sets, "terms").select("qid", "q").join(found, "q").select("qid", "rank", "doc_id", "score")
 
 
 def best_scores(hits: DataFrame) -> DataFrame:

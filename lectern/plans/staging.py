@@ -36,10 +36,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _staged.add(path)
+    if len(_staged) == 1:
+        atexit.register(_remove_all, spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_all(spark: SparkSession) -> None:
+    for path in _staged:
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -58,6 +65,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def wide(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` shuffled by ``cols`` to as many partitions as a shuffle has or the cluster has cores: for small rows that make much work, which would be put into one task by their size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *cols)
+
+
 def within(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; counts no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
@@ -71,5 +84,12 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if within(df, max_rows) else df
 
 
-def env(name: str, default: str) -> str:
-    return os.environ.get(name) or default
+def release(df: DataFrame) -> None:
+    """Removes the staged tables that ``df`` reads; it can't be read again."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path in _staged:
+            _remove(df.sparkSession, path)
+            _staged.discard(path)
+
+
+_staged: set[str] = set()
