@@ -256,6 +256,10 @@ def near_duplicates(spark, d):
     return N.near_duplicates(_chunks(spark, d).select(F.col("chunk_id").alias("id"), "text"))[0]
 
 
+def first_near_duplicates(spark, d):
+    return N.first_pairs(near_duplicates(spark, d))
+
+
 def near_duplicate_links(spark, d):
     return N.near_duplicate_links(_chunks(spark, d).select(F.col("chunk_id").alias("id"), "text"))
 
@@ -265,7 +269,7 @@ _ALL = (
     answer_pipeline, citations, prompt_context, health, norm_urls, first_urls, capture_match, capture_argmax, clean_page, sentence_counts,
     chunk_documents, chunk_sizes, build_chunks, chunk_ids, corpus_projection, build_summary, size_stats, empty_chunks, dup_texts, missing_cells, bad_urls,
     leak_counts, dataset_gate, text_gate, text_gate_summary, manifest_missing, manifest_orphans, registry_differences, eval_idf, cosine_top1, eval_verdicts,
-    eval_passed, near_duplicates, near_duplicate_links,
+    eval_passed, near_duplicates, first_near_duplicates, near_duplicate_links,
 )
 
 

@@ -240,6 +240,7 @@ count(*) FILTER (char_count > {CHUNK_CAP}) AS over_cap, count(*) FILTER (char_co
         "eval_verdicts": f"WITH {_verdicts()} SELECT case_id, top_source, score, passed FROM judged_",
         "eval_passed": f"WITH {_verdicts()} SELECT count(*) FILTER (passed) AS passed, count(*) AS cases FROM judged_",
         "near_duplicates": f"WITH {_pairs()} SELECT a, b, score FROM pairs_",
+        "first_near_duplicates": f"WITH {_pairs()} SELECT a, b, score FROM pairs_ ORDER BY a, b LIMIT 8",
         "near_duplicate_links": f"""WITH {_pairs()}, ends_ AS (SELECT a AS rep FROM pairs_ UNION ALL SELECT b FROM pairs_), n_links_ AS (SELECT rep, count(*) AS links FROM ends_ GROUP BY rep)
 SELECT id, rep, copies, coalesce(links, 0) AS links FROM who_ LEFT JOIN n_links_ USING (rep)""",
     }

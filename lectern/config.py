@@ -36,6 +36,9 @@ REQUIRED_COLUMNS = ("chunk_id", "source_id", "source_title", "source_url", "scop
 # Where the content of a captured page starts and ends; labels and phrases of lines that are dropped.
 START_MARKERS = ("\n1. [Home]", "\n1. Home", "In This Section", "\n# ")
 FOOTER_MARKERS = ("\ntiktok", "\n- [Legal Info]", "\n- [Consumer Information]", "\n© 20", "\nStudent Financial Services", "\n Office of Graduate")
+# Patterns of lines that are dropped if they are shorter than LINK_LINE, and of those that always are; (?U): space and digits of all scripts.
+SHORT_LINE_PATTERNS = (r"^[-*+](?U)\s*\[(?=(?s:.)*\]\()", r"^\[[^\]]+\]\([^)]+\)$")
+LINE_PATTERNS = (r"^(?U)\d+\.\s*\[", r"^https?://(?U)\S+$")
 SEARCH_LABELS = ("Search", "Search this site only")
 NAVIGATION_PHRASE, JUMP_PHRASE = "Navigate to", "Jump to"
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.config import FOOTER_MARKERS, JUMP_PHRASE, LINK_LINE, NAVIGATION_PHRASE, SEARCH_LABELS, START_MARKERS
+from lectern.config import FOOTER_MARKERS, JUMP_PHRASE, LINE_PATTERNS, LINK_LINE, NAVIGATION_PHRASE, SEARCH_LABELS, SHORT_LINE_PATTERNS, START_MARKERS
 from lectern.functions.text import collapse, first_url, lines, norm_url, strip, unify_newlines
 
 
@@ -21,21 +24,23 @@ def content_of(df: DataFrame, text: str, out: str, starts: tuple[str, ...] = STA
     return at.withColumn(out, F.call_function("substring", c, start, end - start)).drop("__start")
 
 
-def is_furniture(s: Column) -> Column:
-    """Whether a stripped line is navigation: menus, jump links, search labels, images, link items, breadcrumbs, lone links and bare URLs."""
+def is_furniture(s: Column, labels: tuple[str, ...] = SEARCH_LABELS) -> Column:
+    """Whether a stripped line is navigation: menus, jump links, search ``labels``, images, link items, breadcrumbs, lone links and bare URLs."""
     short = F.length(s) < LINK_LINE
     return (
         s.contains(NAVIGATION_PHRASE)
         | (s.startswith("[") & s.contains(JUMP_PHRASE))
-        | s.isin(*SEARCH_LABELS)
+        | s.isin(*labels)
         | s.startswith("![")
-        | (s.rlike(r"^[-*+](?U)\s*\[") & s.contains("](") & short)
-        | s.rlike(r"^(?U)\d+\.\s*\[")
-        | (s.rlike(r"^\[[^\]]+\]\([^)]+\)$") & short)
-        | s.rlike(r"^https?://(?U)\S+$")
+        | (short & _any(s, SHORT_LINE_PATTERNS))
+        | _any(s, LINE_PATTERNS)
     )
 
 
+def _any(s: Column, patterns: tuple[str, ...]) -> Column:
+    return reduce(or_, [s.rlike(p) for p in patterns])
+
+
 def plain_line(s: Column) -> Column:
     """A line without markup: links as their labels, no backticks, no ``#`` at its ends, rules of hyphens empty, single spaces."""
     flat = F.replace(F.regexp_replace(s, r"\[([^\]]+)\]\([^)]+\)", "$1"), F.lit("`"), F.lit(""))
@@ -46,17 +51,17 @@ def plain_line(s: Column) -> Column:
 _WAS_BLANK = "\x00"
 
 
-def clean_lines(c: Column) -> Column:
+def clean_lines(c: Column, labels: tuple[str, ...] = SEARCH_LABELS) -> Column:
     """The lines that stay, rewritten; blank lines stay blank, a line that only becomes empty is dropped."""
     bare = F.transform(lines(c), strip)
-    kept = F.transform(bare, lambda s: F.when(s == "", F.lit(_WAS_BLANK)).when(~is_furniture(s), plain_line(s)))
+    kept = F.transform(bare, lambda s: F.when(s == "", F.lit(_WAS_BLANK)).when(~is_furniture(s, labels), plain_line(s)))
     return F.transform(F.filter(kept, lambda s: s != ""), lambda s: F.when(s == _WAS_BLANK, F.lit("")).otherwise(s))
 
 
-def clean(df: DataFrame, text: str = "text", out: str = "clean_text") -> DataFrame:
-    """``df`` with ``out``, the content of the captured page in ``text`` as plain text. Null stays null."""
+def clean(df: DataFrame, text: str = "text", out: str = "clean_text", labels: tuple[str, ...] = SEARCH_LABELS) -> DataFrame:
+    """``df`` with ``out``, the content of the captured page in ``text`` as plain text. Null stays null. ``labels``: lines that are the label of a search box."""
     rows = content_of(df.withColumn("__lf", unify_newlines(F.col(text))), "__lf", "__content")
-    joined = F.array_join(clean_lines(F.col("__content")), "\n")
+    joined = F.array_join(clean_lines(F.col("__content"), labels), "\n")
     return rows.withColumn(out, strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))).drop("__lf", "__content")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.operators.chunk import chunk_pages, number_chunks
 from lectern.operators.clean import clean, largest_capture
 
+# Columns of the chunk table, in their order.
 CHUNK_COLUMNS = ("chunk_id", "source_id", "source_title", "source_url", "scope", "topic", "content_version", "change_frequency", "date_accessed", "char_count", "token_estimate_approx", "text")
 
 

@@ -61,8 +61,9 @@ class Index:
 def build_index(docs: DataFrame) -> Index:
     """The index for answering: a posting weighs ln(N/df) x (1 + 0.1 (tf - 1)), over title and text.
 
-    Postings of terms that all documents have weigh nothing and are left out, which changes no score.
+    Ids that are null or repeated are an error. Postings of terms that all documents have weigh nothing and are left out, which changes no score.
     """
+    require_unique(docs)
     n = docs.count()
     tf = stage(term_frequencies(docs, serving_text(), SEARCH_STOPWORDS, "doc_id", "pos"), "tf")
     idf = document_frequencies(tf).where(F.col("df") < n).select("term", F.log(F.lit(float(n)) / F.col("df")).alias("idf"))

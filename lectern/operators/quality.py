@@ -55,8 +55,8 @@ def leak_counts(chunks: DataFrame, traces: tuple[str, ...] = CHUNK_TRACES) -> Da
     return sums.select(pairs.alias("trace", "rows")).where("rows > 0")
 
 
-def dataset_gate(chunks: DataFrame) -> DataFrame:
-    """``check``, ``value``: the chunk table's checks as one report."""
+def dataset_gate(chunks: DataFrame, traces: tuple[str, ...] = CHUNK_TRACES) -> DataFrame:
+    """``check``, ``value``: the chunk table's checks as one report; ``traces`` are of furniture."""
     cols = [c for c in REQUIRED_COLUMNS if c in chunks.columns]
     missing = sum((F.when(is_blank(F.col(c)), 1).otherwise(0) for c in cols), F.lit(0))
     one = chunks.agg(
@@ -67,16 +67,16 @@ def dataset_gate(chunks: DataFrame) -> DataFrame:
         F.countDistinct("source_id").alias("sources"),
         F.count_if(F.col("char_count") > CHUNK_CAP).alias("over_cap"),
         F.count_if(F.col("char_count") < CHUNK_LEAST).alias("thin"),
-        *[F.count_if(F.col("text").contains(t)).alias(f"leak {t}") for t in CHUNK_TRACES],
+        *[F.count_if(F.col("text").contains(t)).alias(f"leak {t}") for t in traces],
     )
     pairs = F.map_from_arrays(F.array(*map(F.lit, one.columns)), F.array(*[F.col(f"`{c}`").cast("bigint") for c in one.columns]))
     dup = duplicate_texts(chunks).agg(F.count("*").alias("value")).select(F.lit("duplicate_texts").alias("check"), "value")
     return one.select(F.explode(pairs).alias("check", "value")).unionByName(dup)
 
 
-def text_issues(t: Column) -> Column:
+def text_issues(t: Column, traces: tuple[str, ...] = FILE_TRACES) -> Column:
     """What is wrong with a page's stripped text ``t``: furniture in it, too short, an odd end, a dangling last word."""
-    found = F.filter(F.array(*map(F.lit, FILE_TRACES)), lambda x: F.contains(t, x))
+    found = F.filter(F.array(*map(F.lit, traces)), lambda x: F.contains(t, x))
     return F.array_compact(
         F.array(
             F.when(F.size(found) > 0, F.concat(F.lit("boilerplate: "), F.array_join(found, ", "))),
@@ -87,10 +87,10 @@ def text_issues(t: Column) -> Column:
     )
 
 
-def text_gate(pages: DataFrame, *keys: str) -> DataFrame:
+def text_gate(pages: DataFrame, *keys: str, traces: tuple[str, ...] = FILE_TRACES) -> DataFrame:
     """``keys``, ``n_chars``, ``issues`` (joined by ``; ``), ``ok`` for each row. Null text counts as empty."""
     bare = pages.select(*keys, strip(F.coalesce("text", F.lit(""))).alias("__t"))
-    rows = bare.select(*keys, F.length("__t").alias("n_chars"), text_issues(F.col("__t")).alias("__i"))
+    rows = bare.select(*keys, F.length("__t").alias("n_chars"), text_issues(F.col("__t"), traces).alias("__i"))
     return rows.select(*keys, "n_chars", F.array_join("__i", "; ").alias("issues"), (F.size("__i") == 0).alias("ok"))
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.add(path)
+    _staged[path] = None
     if len(_staged) == 1:
         atexit.register(_remove_all, spark)
     return spark.read.schema(df.schema).parquet(path)
@@ -84,12 +85,16 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if within(df, max_rows) else df
 
 
-def release(df: DataFrame) -> None:
-    """Removes the staged tables that ``df`` reads; it can't be read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path in _staged:
-            _remove(df.sparkSession, path)
-            _staged.discard(path)
+@contextmanager
+def released() -> Iterator[None]:
+    """Removes, at its end, the tables staged inside of it: for work that repeats in a session that doesn't end, such as a stream's batches."""
+    before = set(_staged)
+    yield
+    spark = SparkSession.getActiveSession()
+    for path in [p for p in _staged if p not in before]:
+        _remove(spark, path)
+        _staged.pop(path)
 
 
-_staged: set[str] = set()
+#: Tables staged in this process, in order.
+_staged: dict[str, None] = {}

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lectern.config import Settings
 from lectern.operators.answer import Generator, answer
 from lectern.operators.index import Index
+from lectern.plans.staging import released
 
 
 def answer_stream(questions: DataFrame, index: Index, out: str, checkpoint: str, settings: Settings | None = None, generator: Generator | None = None, trigger: dict | None = None) -> StreamingQuery:
@@ -17,6 +18,7 @@ def answer_stream(questions: DataFrame, index: Index, out: str, checkpoint: str,
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        answer(index, batch, settings, generator).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with released():
+            answer(index, batch, settings, generator).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,8 +1,8 @@
-from chunk_model import model
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lectern.config import CHUNK_LEAST, CHUNK_OVERLAP, CHUNK_TARGET
 from lectern.operators import clean as L
 from lectern.operators.chunk import chunk_pages, number_chunks
 from lectern.operators.corpus import CHUNK_COLUMNS, build_chunks, build_summary, documents_of, latest, unlisted_pages
@@ -19,12 +19,48 @@ def chunked(spark, texts):
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.lists(st.tuples(st.sampled_from(["x", "Word. ", "Is it? (So) ", "é ", "\n", "\n\n", "\r\n\r\n", "\t"]), st.integers(1, 400)), max_size=14), min_size=30, max_size=60))
-def test_chunks_against_the_model(spark, texts):
+def test_properties_of_chunks(spark, texts):
+    """Every chunk holds new text in order, begins with an end of the text before it, and isn't short unless it is alone."""
     texts = ["".join((p * n)[: n + 3] if not p.isspace() else p for p, n in parts) for parts in texts]
-    got = chunked(spark, texts)
-    assert got == [model(t) for t in texts]
-    for t, parts in zip(texts, got, strict=True):
-        assert not (set("".join(t.split())) - set("".join(parts)))
+    for text, parts in zip(texts, chunked(spark, texts), strict=True):
+        solid = "".join(text.split())
+        assert bool(parts) == bool(solid)
+        if len(parts) > 1:
+            assert all(len(p) >= CHUNK_LEAST for p in parts)
+        at = 0  # how much of the text's solid characters the chunks so far hold
+        for i, part in enumerate(parts):
+            own = "".join(part.split())
+            # Short chunks are merged with the overlap that they had, so a chunk may hold an end of the text before it in several places.
+            assert i == 0 or own[0] in solid
+            reach = max((k for k in range(len(solid) + 1) if own.endswith(solid[max(0, k - 40) : k]) and k >= at), default=at)
+            assert reach >= at
+            at = reach
+        assert at == len(solid)
+
+
+def test_overlap_is_a_suffix(spark):
+    text = "\n\n".join(f"Part {i} says a thing. " + f"{chr(97 + i)} " * 300 + "and ends so." for i in range(4))
+    (parts,) = chunked(spark, [text])
+    assert len(parts) == 4 and parts[0] == text.split("\n\n")[0].strip()
+    for before, part, own in zip(parts, parts[1:], text.split("\n\n")[1:], strict=False):
+        assert part.endswith(own)
+        head = part[: -len(own)].rstrip()
+        assert 0 < len(head) <= CHUNK_OVERLAP and before.endswith(head)
+
+
+def test_short_chunks_are_merged(spark):
+    """Sizes 119 and 300 make one chunk, 120 and 300 two, 300 and 119 one, each with the overlap that the second had."""
+    for sizes, n in (((119, 590), 1), ((120, 590), 2), ((590, 119), 2)):
+        (parts,) = chunked(spark, ["\n\n".join(chr(97 + i) * k for i, k in enumerate(sizes))])
+        assert len(parts) == n, sizes
+
+
+def test_long_paragraphs_are_packed_by_sentences(spark):
+    sentence = "Words that make a sentence of some length, all told. "
+    (parts,) = chunked(spark, [(sentence * 40).strip()])
+    assert len(parts) > 2 and all(p.endswith(".") and len(p) <= CHUNK_TARGET + CHUNK_OVERLAP + 1 for p in parts)
+    (parts,) = chunked(spark, ["x" * 2000])
+    assert parts == ["x" * 2000]  # a sentence is never cut
 
 
 def test_packing_cases(spark):
