@@ -520,7 +520,8 @@ class Labeller:
             masked = masked_lines(text, site, subjects_of(url, text, site, common))
             here = [no for no, m in enumerate(masked, 1) if m]
             edges.page([x for x in map(str.strip, text.split("\n")) if x], here, len(costs))
-            costs += [self.cost(m, labels) for m in masked if m]
+            known = self.costs.get
+            costs += [self.cost(m, labels) if (c := known(m)) is None else c for m in masked if m]
             numbers.append(here)
         cut = iter(min_cut(np.array(costs), np.array(edges.u, dtype=np.int64), np.array(edges.v, dtype=np.int64), np.array(edges.w)).tolist())
         return [[no for no in here if next(cut)] for here in numbers]
@@ -582,8 +583,13 @@ class Inspector:
             return self.lines[masked]
         got = None
         if _WORD.search(_bare(masked)):
-            shape = 0 if _closed(masked) else _hash(self.shape(masked, common))
-            got = _hash(masked), shape, _label(masked) if _may_be_label(masked) else 0, _parts(masked)
+            # What ends like a sentence has no shape and is no label, and most lines are no trails.
+            shape = label = 0
+            crumbs = _has_crumbs(masked)
+            if not _closed(masked):
+                shape = _hash(self.shape(masked, common))
+                label = _label(masked) if not crumbs and "§" not in masked else 0
+            got = _hash(masked), shape, label, _parts(masked) if crumbs else []
         # What is kept of a line depends on the common words, which with ``Rare`` are another set for each page.
         if len(masked) < 200 and not isinstance(common, Rare):
             if len(self.lines) >= self.known:
@@ -594,11 +600,13 @@ class Inspector:
     def page(self, url: str | None, text: str, common: frozenset[str] | Rare) -> tuple[set[tuple[int, int, int]], set[int]]:
         """Distinct (line, shape, label) and distinct labels of trails."""
         site = site_of(url, text)
-        found, parts = set(), set()
+        found, parts, known = set(), set(), self.lines
         for m in set(masked_lines(text, site, subjects_of(url, text, site, common))):
-            if m and (got := self.line(m, common)):
+            got = known[m] if m in known else self.line(m, common) if m else None
+            if got:
                 found.add(got[:3])
-                parts.update(got[3])
+                if got[3]:
+                    parts.update(got[3])
         return found, parts - {0}
 
 
