@@ -19,7 +19,8 @@ from lectern.operators import index as I
 from lectern.operators import neardup as N
 from lectern.operators import quality as Q
 from lectern.operators import search as S
-from lectern.plans.staging import spread, stage
+from lectern.plans.staging import spread, stage, staged_path
+from lectern.sources import files as X
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = Settings(backend="extract")
@@ -165,6 +166,13 @@ def chunk_ids(spark, d):
     return C.number_chunks(rows).select(F.col("file").alias("old_id"), "chunk_id")
 
 
+def chunk_file(spark, d):
+    """The chunk table written as CSV into the shared folder and read again."""
+    path = staged_path(spark, "chunk-file")
+    X.write_chunks(_chunks(spark, d), path)
+    return X.read_chunks(spark, path)
+
+
 def corpus_projection(spark, d):
     return B.documents_of(_chunks(spark, d))
 
@@ -267,7 +275,7 @@ def near_duplicate_links(spark, d):
 _ALL = (
     tokens_of, term_freq, doc_freq, idf, search_topk, search_top1, best_score, support_gate, route_rule_hits, route_escalation, rejected_questions,
     answer_pipeline, citations, prompt_context, health, norm_urls, first_urls, capture_match, capture_argmax, clean_page, sentence_counts,
-    chunk_documents, chunk_sizes, build_chunks, chunk_ids, corpus_projection, build_summary, size_stats, empty_chunks, dup_texts, missing_cells, bad_urls,
+    chunk_documents, chunk_sizes, build_chunks, chunk_ids, chunk_file, corpus_projection, build_summary, size_stats, empty_chunks, dup_texts, missing_cells, bad_urls,
     leak_counts, dataset_gate, text_gate, text_gate_summary, manifest_missing, manifest_orphans, registry_differences, eval_idf, cosine_top1, eval_verdicts,
     eval_passed, near_duplicates, first_near_duplicates, near_duplicate_links,
 )

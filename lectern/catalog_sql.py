@@ -23,6 +23,7 @@ from lectern.config import (
     START_MARKERS,
     Settings,
 )
+from lectern.operators.corpus import CHUNK_COLUMNS
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
@@ -220,6 +221,7 @@ FROM routed_ q LEFT JOIN (SELECT * FROM passages_ QUALIFY row_number() OVER (PAR
         "sentence_counts": f"WITH {_sentences()}",
         "chunk_sizes": f"WITH {CHUNKS} SELECT chunk_id, CAST(length(text) AS INTEGER) AS chars, CAST(round_even(length(text) / 4.0, 0) AS INTEGER) AS estimate FROM chunks_",
         "chunk_ids": f"WITH {CHUNKS} SELECT chunk_id AS old_id, 'c' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS chunk_id FROM (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS n FROM chunks_)",
+        "chunk_file": f"WITH {CHUNKS} SELECT " + ", ".join(c if c in ("char_count", "token_estimate_approx") else f"coalesce({c}, '') AS {c}" for c in CHUNK_COLUMNS) + " FROM chunks_",
         "corpus_projection": f"WITH {CHUNKS} SELECT chunk_id AS id, source_title AS title, source_url, text, date_accessed AS retrieved, source_id, scope, topic, content_version, change_frequency FROM chunks_",
         "build_summary": f"WITH {CHUNKS} SELECT count(*) AS rows, count(DISTINCT source_id) AS sources FROM chunks_",
         "size_stats": f"""WITH {CHUNKS} SELECT min(char_count) AS min_chars, CAST(trunc(median(char_count)) AS INTEGER) AS median_chars, CAST(trunc(avg(char_count)) AS INTEGER) AS mean_chars, max(char_count) AS max_chars,

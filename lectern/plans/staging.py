@@ -35,14 +35,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     later plans. It is removed when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(spark, name)
     df.write.parquet(path)
-    _staged[path] = None
-    if len(_staged) == 1:
-        atexit.register(_remove_all, spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is removed when the Python process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _staged:
+        atexit.register(_remove_all, spark)
+    _staged[path] = None
+    return path
+
+
 def _remove_all(spark: SparkSession) -> None:
     for path in _staged:
         _remove(spark, path)

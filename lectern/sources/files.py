@@ -36,7 +36,7 @@ def read_corpus(spark: SparkSession, path: str, passed_on: bool = False) -> Data
 
 
 def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("lineSep", "\n").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return rows.fillna("")
 
 
@@ -91,7 +91,7 @@ def write_pages(pages: DataFrame, folder: str) -> None:
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """The chunk table as CSV with header, its columns in their order."""
-    chunks.select(*CHUNK_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    chunks.select(*CHUNK_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_corpus(documents: DataFrame, path: str) -> None:
